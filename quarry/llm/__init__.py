@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("mixing", "chat", "rules")
+PARTS = ("mixing", "bpe", "winnow", "chat", "neardup", "rules", "quality", "language", "tokenfile")
 
 
 def _parts():

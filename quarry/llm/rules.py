@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, WORD, documents, settle, whole
@@ -104,16 +104,9 @@ def cutoffs(good: DataFrame, stratum: str, shares: dict = SHARES, alpha: float =
     rejected = [F.sum((F.col(s) > F.lit(c)).cast("long")).alias(f"{s}_{j}") for s, j, c in tests]
     rows = good.groupBy(stratum).agg(F.count("*").alias("_n"), *rejected)
     level = F.lit(delta) / (F.lit(len(shares)) * F.col("_strata"))
-    n_strata = rows.agg(F.count("*").alias("_strata"))
-    rows = rows.join(F.broadcast(n_strata))  # one row, by its definition
-    out = {}
-    for s in shares:
-        best, safe = F.lit(None).cast("double"), F.lit(True)
-        for _, j, c in (t for t in tests if t[0] == s):
-            k = F.col(f"{s}_{j}")
-            ok = F.when(k >= alpha * F.col("_n"), False).otherwise(at_most(k, F.col("_n"), alpha) <= level)
-            out[f"_{s}_{j}"] = ok
-    rows = rows.withColumns(out)
+    rows = rows.withColumn("_strata", F.count("*").over(Window.partitionBy(F.lit(0))))  # a row a stratum
+    safe_at = lambda k: F.when(k >= alpha * F.col("_n"), False).otherwise(at_most(k, F.col("_n"), alpha) <= level)
+    rows = rows.withColumns({f"_{s}_{j}": safe_at(F.col(f"{s}_{j}")) for s, j, _ in tests})
     for s in shares:
         best, safe = F.lit(None).cast("double"), F.lit(True)
         for _, j, c in (t for t in tests if t[0] == s):
