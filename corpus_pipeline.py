@@ -1,13 +1,78 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""A corpus pipeline: language, near duplicates, repeated strings, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which is what its
+predecessor kept; all but the last return the columns of documents.
+
+- language: drops documents that have no letter or whose language can't be told
+- near_duplicates: keeps one document of each class of near copies
+- repeated_strings: cuts every string of 200 bytes that stands elsewhere too
+- mixture: repeats and drops documents to meet the sources' targets, in training order
+- tokens: ids and decoded bytes of each document, as digests
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, mixing, neardup, substrings
+from quarry.llm import language as lang_id
+from quarry.llm.common import documents, remainder, settle
+
+#: Below it, a language counts as not told; chance gives about a quarter for four languages.
+LEAST_SCORE = 0.3
+
+
+def keeps_columns(stage):
+    """Further columns of docs go under other names while the stage works, so that none can clash with the operator's."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {"doc_id", "text", "lang", "source", "n_chars"}
+        aside = {c: f"_aside{i}" for i, c in enumerate(docs.columns) if c not in own}
+        out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return out.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+    return run_stage
+
+
+@keeps_columns
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = lang_id.fit(docs.where(remainder("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    found = lang_id.identify(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+
+
+@keeps_columns
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_duplicates(docs)
+
+
+@keeps_columns
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = substrings.cut(docs).withColumn("text", substrings.text())
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@keeps_columns
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.ranks_file()))
+
+
+STAGES = [(f.__name__, f) for f in (language, near_duplicates, repeated_strings, mixture, tokens)]
+
+#: Language models and aligned near copies are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

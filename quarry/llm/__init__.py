@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from importlib import import_module
 
-PARTS = ("mixing", "bpe", "winnow", "chat", "neardup", "rules", "quality", "language", "tokenfile")
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
+PARTS = ("mixing", "substrings", "bpe", "winnow", "chat", "neardup", "rules", "quality", "language", "tokenfile")
 
 
 def _parts():
