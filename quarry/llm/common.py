@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -38,7 +40,19 @@ def settle(df: DataFrame) -> DataFrame:
     """Write and reread: cuts the lineage, is read by several consumers, and outlives any executor."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes settled tables of which all readers are done, and has Spark's cleaner look for shuffles that nothing refers to any more."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def remainder(doc_id: str | Column, n: int) -> Column:
@@ -74,3 +88,11 @@ def parts_for(df: DataFrame, size: Column, each: int, most: int = 65536) -> int:
     """How many parts of about ``each`` units the rows make; more than ``most`` only makes the parts larger."""
     total = df.agg(F.sum(size).alias("n")).first()["n"] or 0
     return int(min(most, max(1, -(-total // each))))
+
+
+def memo(key, make):
+    """What ``make`` gives, once for a worker process; functions that are sent to workers lose module variables after each task."""
+    store = sys.__dict__.setdefault("_quarry_memo", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -11,9 +11,10 @@ anchors at equal places. Anchors whose hash occurs once can't be in a repeat. Of
 - those whose whole context, all bytes that a string with this anchor can cover, occurs
   twice or more are repeated throughout, as its hash shows, without a look at the text;
 - of each different context with an equal anchor one comes to a task, which concatenates
-  such contexts and builds their suffix array in two stages: suffixes smaller than their
-  successors are sorted directly, to SPAN bytes, the others are induced from these by scans
-  of buckets in ascending order. Adjacent common prefixes of SPAN bytes are repeats.
+  such contexts, less the strings whose hash is alone there, and builds their suffix array in
+  two stages: suffixes smaller than their successors are sorted directly, to SPAN bytes, the
+  others are induced from these by scans of buckets in ascending order. Adjacent common
+  prefixes of SPAN bytes are repeats.
 
 Counts of anchors are aggregated before they are shuffled, and joins on them can be split,
 so that a passage that a third of all documents hold stays spread. Where more than ``HOT``
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, settle, whole
+from quarry.llm.common import discard, documents, settle, whole
 
 SPAN, GRAM, HOT = 200, 64, 30_000
 GRAMS = SPAN - GRAM + 1
@@ -187,35 +188,82 @@ def common_prefixes(order: np.ndarray, keys: np.ndarray, depth: int = SPAN) -> n
     return out
 
 
-def repeats(contexts: list[bytes], left: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, end): places in the row that repeated strings cover. A context begins ``left`` before ``place`` of its row."""
+def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of flags; a run also ends where a value of ``breaks`` changes."""
+    on = np.flatnonzero(flags)
+    if not len(on):
+        return on, on
+    new = np.ones(len(on), bool)
+    new[1:] = on[1:] != on[:-1] + 1
+    for x in breaks:
+        new[1:] |= x[on[1:]] != x[on[:-1]]
+    heads = np.flatnonzero(new)
+    return on[heads], on[np.append(heads[1:], len(on)) - 1]
+
+
+def _twice(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def repeats(contexts: list[bytes], left: np.ndarray, row: np.ndarray, place: np.ndarray, gram: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, end): places in the row that repeated strings cover. A context begins ``left`` before ``place`` of its row.
+
+    Strings that are equal have equal grams at equal places, so that strings whose hash is alone there can't repeat; what
+    is left of the contexts are stretches, equal ones of which go into the suffix array once.
+    """
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    keys = octets(np.concatenate([data, np.zeros(SPAN + 16, np.uint8)]))
     begin = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(sizes)), sizes)
     inner = np.arange(len(data)) - begin[of]
-    valid = (inner <= left[of]) & (inner + SPAN <= sizes[of])
-    order = suffix_array(data, keys)
-    order = order[valid[order]]
-    long = common_prefixes(order, keys) >= SPAN
-    run = np.cumsum(~long)
-    where = (place - left)[of[order]] + inner[order]
-    rows = row[of[order]]
-    by = np.lexsort((where, rows, run))
-    run, rows, where, order = run[by], rows[by], where[by], order[by]
-    other = (run[1:] == run[:-1]) & ((rows[1:] != rows[:-1]) | (where[1:] != where[:-1]))
-    repeated = np.zeros(int(run.max(initial=0)) + 1, bool)
-    repeated[run[1:][other]] = True
-    hit = repeated[run]
-    c, w = of[order[hit]], where[hit]
-    by = np.lexsort((w, c))
-    c, w = c[by], w[by]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1] + 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(c)) - 1
-    return c[heads], w[heads], w[tails] + SPAN
+    valid = np.flatnonzero((inner <= left[of]) & (inner + SPAN <= sizes[of]))
+    none = np.empty(0, np.int64)
+    if not len(valid):
+        return none, none, none
+    up, down = powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_RANDOM[data] * up[: len(data)], out=sums[1:])
+    at = gram.view(np.uint64)[of[valid]] + (left[of[valid]] - inner[valid]).astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    flags = np.zeros(len(data), bool)
+    flags[valid[_twice(_mix((sums[valid + SPAN] - sums[valid]) * down[valid] + at))]] = True
+    first, last = _runs(flags, of)
+    if not len(first):
+        return none, none, none
+    end, c = last + SPAN, of[first]
+    stamp = _mix((sums[end] - sums[first]) * down[first] + gram.view(np.uint64)[c] + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, one, which, count = np.unique(stamp, return_index=True, return_inverse=True, return_counts=True)
+    # the suffix array of one stretch of each kind
+    length = (end - first)[one]
+    origin = np.cumsum(length) - length
+    kind = np.repeat(np.arange(len(one)), length)
+    step = np.arange(len(kind)) - origin[kind]
+    text = data[first[one][kind] + step]
+    keys = octets(np.concatenate([text, np.zeros(SPAN + 16, np.uint8)]))
+    order = suffix_array(text, keys)
+    order = order[step[order] + SPAN <= length[kind[order]]]
+    run = np.cumsum(common_prefixes(order, keys) < SPAN)
+    where = place[c[one]] - left[c[one]] + inner[first[one]]
+    rows, places = row[c[one]][kind[order]], where[kind[order]] + step[order]
+    by = np.lexsort((places, rows, run))
+    other = (run[by][1:] == run[by][:-1]) & ((rows[by][1:] != rows[by][:-1]) | (places[by][1:] != places[by][:-1]))
+    shared = np.zeros(int(run[-1]) + 1, bool)
+    shared[run[by][1:][other]] = True
+    hit = np.zeros(len(text), bool)
+    hit[order] = shared[run] | (count[kind[order]] > 1)
+    head, tail = _runs(hit, kind)
+    # and back to every stretch of the kind
+    per = np.bincount(kind[head], minlength=len(one))
+    offset = np.cumsum(per) - per
+    n = per[which]
+    s = np.repeat(np.arange(len(first)), n)
+    j = offset[which[s]] + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+    base = place[c[s]] - left[c[s]] + inner[first[s]] - origin[which[s]]
+    return c[s], base + head[j], base + tail[j] + SPAN
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
@@ -274,12 +322,12 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def _by_suffixes(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, powers = 0, Powers()
 
         def give():
-            row, place, left, _, solo, text = zip(*held)
-            row, place, left, solo = np.array(row, np.int64), np.array(place, np.int64), np.array(left, np.int64), np.array(solo, bool)
-            c, first, end = repeats(list(text), left, row, place)
+            row, place, left, gram, solo, text = zip(*held)
+            row, place, left, gram, solo = (np.array(v, k) for v, k in ((row, np.int64), (place, np.int64), (left, np.int64), (gram, np.int64), (solo, bool)))
+            c, first, end = repeats(list(text), left, row, place, gram, powers)
             mine = solo[c]
             return pa.RecordBatch.from_arrays([pa.array(row[c[mine]]), pa.array((first[mine] << 32) | end[mine])], ["row", "bytes"])
 
@@ -323,15 +371,19 @@ def _by_hashes(contexts: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(row, bytes) for each covered stretch: first << 32 | end, which may go beyond the text's end. ``rows``: row, text and more."""
-    found = settle(_anchor_rows(rows))
-    many = found.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
-    found = settle(found.join(many, F.col("gram") == F.col("_gram")).select("row", "place", "gram", "around", (F.col("lo") != F.col("hi")).alias("several")))
+    spark, every = rows.sparkSession, settle(_anchor_rows(rows))
+    many = every.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
+    found = settle(every.join(many, F.col("gram") == F.col("_gram")).select("row", "place", "gram", "around", (F.col("lo") != F.col("hi")).alias("several")))
+    del many
+    discard(spark, every)
     who = F.xxhash64("row", "place")
     kinds = found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(who).alias("one"))
     crowd = kinds.groupBy("gram").agg(F.count("*").alias("contexts"))
     kinds = kinds.join(crowd, "gram").select(F.col("gram").alias("_gram"), F.col("around").alias("_around"), "n", "one", (F.col("contexts") > HOT).alias("hot"))
     judged = found.where(F.col("several")).join(kinds, (F.col("gram") == F.col("_gram")) & (F.col("around") == F.col("_around")))
     judged = settle(judged.select("row", "place", "gram", "n", "hot", (F.xxhash64("row", "place") == F.col("one")).alias("chosen")))
+    del kinds, crowd
+    discard(spark)
     low, high = F.greatest(F.col("place") - BEFORE, F.lit(0)).cast("long"), F.col("place") + SPAN
     stretch = F.shiftleft(low, 32).bitwiseOR(high.cast("long")).alias("bytes")
     throughout = found.where(~F.col("several")).select("row", stretch).union(judged.where("n > 1").select("row", stretch))
