@@ -4,21 +4,38 @@ from __future__ import annotations
 
 import re
 
-#: Finds a character on which regular expression engines may differ: all but blocks whose classes have long been fixed.
-PLAIN = re.compile(
+#: Find a character outside of Latin, and one on whose class regular expression engines may differ: outside of blocks long fixed.
+FOREIGN = re.compile("[^\x00-\x1b\x20-ɏ]")
+UNSURE = re.compile(
     "[^\x00-\x1b\x20-ɏΑ-ΡΣ-ώЀ-ҁҊ-ӿ‐-‧‰-⁞€"
     "ぁ-ゔァ-ヺ一-龥가-힣]"
 )
 
+# The public pattern with its classes written out for Latin; letters come first, as no other alternative starts with one.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-def cutter():
-    """A function from a text to the list of its pre-tokens, which joined are the text."""
-    import public_tokenizers
-    import regex
 
-    return regex.compile(public_tokenizers.PATTERN).findall
+#: Characters that some engines take for white space.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
-def pieces(text: str, cut) -> list[str]:
-    """The pre-tokens of a text; one piece of all of it if engines may differ on it."""
-    return [text] if PLAIN.search(text) else cut(text)
+def latin(text: str) -> bool:
+    if text.isascii():
+        return not any(c in text for c in _CONTROLS)
+    return not FOREIGN.search(text)
+
+
+class Cutter:
+    """Lists of the pre-tokens of texts, which joined are the text; one piece of all of it if engines may differ on it."""
+
+    def __init__(self):
+        import public_tokenizers
+        import regex
+
+        self.rest = regex.compile(public_tokenizers.PATTERN).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if latin(text):
+            return LATIN.findall(text)
+        return [text] if UNSURE.search(text) else self.rest(text)

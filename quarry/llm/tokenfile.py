@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, order_bounds, order_bucket, parts_for, scratch, whole
-from quarry.llm.pretokens import PLAIN, cutter
+from quarry.llm.common import documents, order_bounds, order_bucket, memo, parts_for, scratch, whole
+from quarry.llm.pretokens import Cutter
 
 MAGIC, VERSION, BLOCK, SHARE = 0x51504652, 1, 256, 0.9
-SEGMENT_IDS, SHARD_BYTES, REMEMBER = 1 << 18, 8 << 20, 400_000
+SEGMENT_IDS, SHARD_BYTES, REMEMBER = 1 << 18, 8 << 20, 600_000
 SEGMENT = "shard int, segment int, n_docs int, n_ids long, payload binary"
 
 
@@ -119,10 +120,12 @@ class Segment:
             w, mine = int(w), np.flatnonzero(self.width[which] == w)
             if w:
                 raw = self.packed[self.starts[which[mine]].astype(np.int64)[:, None] + np.arange(w * self.block // 8)]
-                bits = np.unpackbits(raw, axis=1).reshape(-1, w)
-                full = np.zeros((len(bits), 16 if w <= 16 else 32), np.uint8)
-                full[:, full.shape[1] - w :] = bits
-                out[mine] = np.packbits(full, axis=1).view(">u2" if w <= 16 else ">u4").reshape(len(mine), self.block)
+                bit = np.arange(self.block) * w
+                byte, skip = bit >> 3, (bit & 7).astype(np.uint64)
+                wide = np.zeros((len(mine), self.block), np.uint64)
+                for k in range((w + 14) // 8):  # the bytes that a value may reach into
+                    wide = (wide << np.uint64(8)) | raw[:, np.minimum(byte + k, raw.shape[1] - 1)]
+                out[mine] = (wide >> (np.uint64(8 * ((w + 14) // 8) - w) - skip)) & np.uint64((1 << w) - 1)
         counts = self.n_over[which].astype(np.int64)
         if counts.sum():
             row = np.repeat(np.arange(len(which)), counts)
@@ -134,6 +137,27 @@ class Segment:
         return self.blocks(np.arange(len(self.low))).reshape(-1)[: self.n]
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+
+
+class _Words(dict):
+    """Remembers words' ids in two generations, so that it stays small and frequent words stay known."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBER:
+            self.old = dict(self)
+            self.clear()
+        out = self[word] = self.old.get(word) or self.make(word)
+        return out
+
+
 class Encoder:
     """Texts to ids, as the tokenizers library would, special strings in a text being ordinary text."""
 
@@ -143,28 +167,21 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = True
         known = json.loads(spec)
-        pre = known.get("pre_tokenizer") or {}
-        self.by_word = not known.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.cut, self.words = cutter(), _Words(self.direct)
+        pre, model = known.get("pre_tokenizer") or {}, known.get("model") or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_word = plain and model.get("type") == "BPE" and not known.get("normalizer")
+        self.cut, self.words, self.model = Cutter(), _Words(self.word), self.library.model
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_word or PLAIN.search(text):
-            return self.direct(text)
-        if len(self.words) > REMEMBER:
-            self.words.clear()
-        return b"".join(map(self.words.__getitem__, self.cut(text)))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-class _Words(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.make(word)
-        return out
+    def __call__(self, text: str) -> bytes:
+        pieces = self.cut(text) if self.by_word else [text]
+        return self.direct(text) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
 
 
 def encode_segments(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
@@ -176,24 +193,24 @@ def encode_segments(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
     shared, tail = docs.sparkSession.sparkContext.broadcast(spec), np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, segment, ids, names, lengths, held = Encoder(shared.value), None, 0, [], [], [], 0
+        encode = memo(("encoder", shared.value), lambda: Encoder(shared.value))
+        shard, segment, ids, names, lengths, held = None, 0, [], [], [], 0
 
         def flush():
-            array = np.frombuffer(b"".join(ids), "<u4")
-            row = ([shard], [segment], [len(names)], [len(array)], [pack(array, names, lengths)])
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            row = ([shard], [segment], [len(names)], [len(flat)], [pack(flat, names, lengths)])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["shard", "segment", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for s, d, t in zip(*(batch.column(i) for i in range(3))):
-                s = s.as_py()
+            for s, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if names and (s != shard or held >= SEGMENT_IDS):
                     yield flush()
                     segment, ids, names, lengths, held = segment + 1, [], [], [], 0
                 if s != shard:
                     shard, segment = s, 0
-                got = encode(t.as_py()) + tail
+                got = encode(t) + tail
                 ids.append(got)
-                names.append(d.as_py())
+                names.append(d)
                 lengths.append(len(got) // 4)
                 held += lengths[-1]
         if names:
