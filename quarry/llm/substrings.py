@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, documents, settle, whole
 
-SPAN, GRAM, HOT = 200, 64, 30_000
+SPAN, GRAM, HOT = 200, 64, 20_000
 GRAMS = SPAN - GRAM + 1
 BEFORE = GRAMS - 1
-BLOCK, TILE = 4 << 20, 1 << 22
+BLOCK, TILE = 2 << 20, 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RANDOM = np.random.default_rng(1990).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -219,8 +219,8 @@ def repeats(contexts: list[bytes], left: np.ndarray, row: np.ndarray, place: np.
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    inner = np.arange(len(data)) - begin[of]
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    inner = np.arange(len(data), dtype=np.int32) - begin.astype(np.int32)[of]
     valid = np.flatnonzero((inner <= left[of]) & (inner + SPAN <= sizes[of]))
     none = np.empty(0, np.int64)
     if not len(valid):
@@ -390,7 +390,11 @@ def repeated(rows: DataFrame) -> DataFrame:
     wanted = judged.where("chosen").select("row", "place", "gram", (F.col("n") == 1).alias("solo"), "hot")
     out = throughout.union(_by_suffixes(_contexts(rows, wanted.where(~F.col("hot")))))
     crowded = wanted.where("hot")
-    return out.union(_by_hashes(_contexts(rows, crowded))) if not crowded.isEmpty() else out
+    if not crowded.isEmpty():
+        out = out.union(_by_hashes(_contexts(rows, crowded)))
+    out = settle(out)
+    discard(spark, found, judged)
+    return out
 
 
 def _cut(text: pd.Series, stretches: pd.Series) -> pd.DataFrame:
