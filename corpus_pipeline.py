@@ -62,7 +62,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.ranks_file()))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.ranks_file(), ["doc_id"]))
 
 
 STAGES = [(f.__name__, f) for f in (language, near_duplicates, repeated_strings, mixture, tokens)]

@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are dealt to chunks of about ``CHUNK_BYTES``. Each chunk gives its distinct pre-tokens;
-they are shuffled by word, so that all chunks' requests for a word meet in one task, which
-encodes it once and sends the ids back to the chunks. There they are put at the places at
-which the pre-tokens stand in each text. A word that every document holds is one row a chunk,
-not one a document, and the texts themselves are shuffled once: both uses of a chunk read the
-same exchange. (Giving every occurrence a row of its own, with its position, moves several
-times the input; the places are kept by the chunk instead.)
+Texts are dealt to chunks of about ``CHUNK_BYTES``. Each chunk asks for its distinct pre-tokens,
+dealt by their hash to desks, at most ``DESKS``: all requests for a word meet at one desk,
+which encodes it once and answers every chunk. There the ids are put at the places at which
+the pre-tokens stand in each text. A word that every document holds is asked for once a
+chunk, not once a document; a chunk's requests to a desk travel as one compressed row; and
+the texts are shuffled once, since both uses of a chunk read the same exchange. (Giving every
+occurrence a row of its own, with its position, moves several times the input; the places
+are kept by the chunk instead.)
 
 Decoding joins ids to the table of token bytes, which has as many rows as the vocabulary.
 
@@ -20,46 +21,84 @@ empty table gives an empty result; columns named ids or decoded are replaced, ot
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import zlib
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import documents, parts_for, whole
-from quarry.llm.pretokens import cutter, pieces
+from quarry.llm.common import documents, memo, parts_for, whole
+from quarry.llm.pretokens import Cutter
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES, DESKS = 16 << 20, 1 << 14
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line)}
 
 
+def library_of(blob: bytes):
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(blob), special_tokens={})
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
 
 
-def encode(docs: DataFrame, blob: bytes) -> DataFrame:
-    """``docs`` with ids and decoded, the bytes that decoding the ids gives. ``blob``: the file of ranks, of bounded size, as a vocabulary has."""
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
-    rows = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)), whole().alias("_text"))
-    id_at = next((f"c{i}" for i, f in enumerate(kept) if f.name == "doc_id"), "_text")
-    n = parts_for(docs, F.octet_length(whole()), CHUNK_BYTES, 1 << 30)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(id_at, "_text"), F.lit(n)).cast("long")).repartition("chunk")
+def pack(words: list[bytes]) -> bytes:
+    """A list of byte strings in one."""
+    lengths = np.array([len(w) for w in words], "<u4").tobytes()
+    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 1)
+
+
+def unpack(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
+    return [raw[i:j] for i, j in zip([4 + 4 * n, *ends.tolist()], ends.tolist())]
+
+
+def requests(words: set[str], desks: int) -> dict[int, list[bytes]]:
+    """Words by desk, in ascending order; an answer has the same order, and so needn't repeat them."""
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        w = w.encode()
+        out.setdefault(zlib.crc32(w) % desks, []).append(w)
+    return {d: sorted(out[d]) for d in sorted(out)}
+
+
+def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all) with ids and decoded, the bytes that decoding the ids gives.
+
+    ``blob``: the file of ranks, of bounded size, as a vocabulary has.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded") and (keep is None or f.name in keep)]
+    names = ["_text" if f.name == "text" else f"c{i}" for i, f in enumerate(kept)]
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names) if n != "_text"), F.col("text").alias("_text"))
+    seed = [n for f, n in zip(kept, names) if f.name == "doc_id"]
+    chunks = parts_for(docs, F.octet_length(whole()), CHUNK_BYTES, 1 << 30)
+    desks = min(chunks, DESKS)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*seed, "_text"), F.lit(chunks)).cast("long")).repartition("chunk")
     shared = docs.sparkSession.sparkContext.broadcast(blob)
-    request = pa.schema([("chunk", pa.int64()), ("word", pa.string())])
-    answer = pa.schema([("chunk", pa.int64()), ("word", pa.string()), ("ids", pa.binary())])
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, chunk, words = cutter(), None, set()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, chunk, words = Cutter(), None, set()
 
         def give():
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(words), pa.int64()), pa.array(list(words), pa.string())], schema=request)
+            asked = requests(words, desks)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(asked), pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array(map(pack, asked.values()), pa.binary())], ["desk", "chunk", "words"]
+            )
 
         for batch in batches:
             text_at, chunk_at = batch.schema.get_field_index("_text"), batch.schema.get_field_index("chunk")
@@ -68,32 +107,41 @@ def encode(docs: DataFrame, blob: bytes) -> DataFrame:
                     if words:
                         yield give()
                     chunk, words = c, set()
-                words.update(pieces(t, cut))
+                if t:
+                    words.update(cut(t))
         if words:
             yield give()
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import tiktoken
-
-        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(shared.value), special_tokens={})
-        word, ids = None, b""
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = memo(("bpe", shared.value), lambda: library_of(shared.value))
+        desk, known = None, {}
         for batch in batches:
             out = []
-            for w in batch.column(1).to_pylist():
-                if w != word:
-                    word, ids = w, np.array(library.encode_ordinary(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(out, pa.binary())], schema=answer)
+            for d, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if d != desk:
+                    desk, known = d, {}
+                ids = []
+                for w in unpack(words):
+                    if w not in known:
+                        known[w] = array("I", library.encode_ordinary(w.decode())).tobytes()
+                    ids.append(known[w])
+                out.append(pack(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["desk", "chunk", "ids"])
 
     out_type = T.StructType([*(T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(kept)), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        cut, table = cutter(), {i: b for b, i in load_ranks(shared.value).items()}
-        known = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist()))
+        cut, table = Cutter(), memo(("bytes", shared.value), lambda: {i: b for b, i in load_ranks(shared.value).items()})
+        texts, words, known = left.column("_text").to_pylist(), set(), {}
+        for t in texts:
+            if t:
+                words.update(cut(t))
+        asked = requests(words, desks)
+        for desk, ids in zip(right.column("desk").to_pylist(), right.column("ids").to_pylist()):
+            known.update(zip((w.decode() for w in asked[desk]), unpack(ids)))
         raw, sizes, decoded = [], [], []
-        for t in left.column("_text").to_pylist():
-            one = b"".join(map(known.__getitem__, pieces(t, cut))) if t else b""
+        for t in texts:
+            one = b"".join(map(known.__getitem__, cut(t))) if t else b""
             raw.append(one)
             sizes.append(len(one) // 4)
             decoded.append(b"".join(map(table.__getitem__, np.frombuffer(one, "<u4").tolist())))
@@ -101,13 +149,13 @@ def encode(docs: DataFrame, blob: bytes) -> DataFrame:
         np.cumsum(sizes, out=offsets[1:])
         values = np.frombuffer(b"".join(raw), "<i4")
         want = _arrow(out_type)
-        columns = [left.column(f"c{i}") for i in range(len(kept))]
+        columns = [left.column(n) for n in names]
         columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(decoded, pa.binary())]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, want)], names=want.names)
 
-    words = dealt.sortWithinPartitions("chunk").mapInArrow(distinct, "chunk long, word string")
-    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(once, "chunk long, word string, ids binary")
-    out = dealt.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(place, out_type)
+    asked = dealt.sortWithinPartitions("chunk").mapInArrow(ask, "desk int, chunk long, words binary")
+    answers = asked.repartition("desk").sortWithinPartitions("desk").mapInArrow(answer, "desk int, chunk long, ids binary")
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(place, out_type)
     return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)), "ids", "decoded")
 
 
@@ -124,7 +172,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return digests(encode(documents(spark, folder).select("doc_id", "text"), ranks_file()))
+    return digests(encode(documents(spark, folder).select("doc_id", "text"), ranks_file(), ["doc_id"]))
 
 
 QUERIES = {"op3_bpe": op3_bpe}
