@@ -372,18 +372,16 @@ def _by_hashes(contexts: DataFrame) -> DataFrame:
 def repeated(rows: DataFrame) -> DataFrame:
     """(row, bytes) for each covered stretch: first << 32 | end, which may go beyond the text's end. ``rows``: row, text and more."""
     spark, every = rows.sparkSession, settle(_anchor_rows(rows))
-    many = every.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
+    many = settle(every.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1"))  # written, so that nothing but exchanges stands below the join, which can then split hot anchors
     found = settle(every.join(many, F.col("gram") == F.col("_gram")).select("row", "place", "gram", "around", (F.col("lo") != F.col("hi")).alias("several")))
-    del many
-    discard(spark, every)
+    discard(spark, every, many)
     who = F.xxhash64("row", "place")
     kinds = found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(who).alias("one"))
     crowd = kinds.groupBy("gram").agg(F.count("*").alias("contexts"))
-    kinds = kinds.join(crowd, "gram").select(F.col("gram").alias("_gram"), F.col("around").alias("_around"), "n", "one", (F.col("contexts") > HOT).alias("hot"))
+    kinds = settle(kinds.join(crowd, "gram").select(F.col("gram").alias("_gram"), F.col("around").alias("_around"), "n", "one", (F.col("contexts") > HOT).alias("hot")))
     judged = found.where(F.col("several")).join(kinds, (F.col("gram") == F.col("_gram")) & (F.col("around") == F.col("_around")))
     judged = settle(judged.select("row", "place", "gram", "n", "hot", (F.xxhash64("row", "place") == F.col("one")).alias("chosen")))
-    del kinds, crowd
-    discard(spark)
+    discard(spark, kinds)
     low, high = F.greatest(F.col("place") - BEFORE, F.lit(0)).cast("long"), F.col("place") + SPAN
     stretch = F.shiftleft(low, 32).bitwiseOR(high.cast("long")).alias("bytes")
     throughout = found.where(~F.col("several")).select("row", stretch).union(judged.where("n > 1").select("row", stretch))
