@@ -147,7 +147,11 @@ class Model:
 def fit(docs: DataFrame) -> Model | None:
     """From a bounded sample of ``docs`` (doc_id, text, lang); None if no row has a language and a letter."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL").select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= EACH)
+    ids = docs.where("lang IS NOT NULL").select("lang", "doc_id")
+    # the first of a language's n hashes lie below a share of the range that n tells, so few rows are ranked however large a language is
+    share = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    ids = ids.join(ids.groupBy("lang").count(), "lang").where(share * F.col("count") <= 4 * EACH)
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= EACH)
     ids = ids.orderBy("_n", "lang").limit(SAMPLE).select("doc_id").distinct()
     rows = docs.where(F.col("lang").isNotNull() & whole().rlike(r"\p{L}")).join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE ids
     counts = F.pandas_udf(lambda s: s.map(lambda t: trigrams(t).tobytes()), "binary")
