@@ -18,7 +18,8 @@ file is the sum of ids of the shards, of the segments, and of the documents befo
 
 Texts of characters on whose class all regular expression engines agree are cut into
 pre-tokens here and each distinct pre-token goes through the tokenizers library once for as
-long as a worker remembers it; any other text goes through the library as a whole.
+long as a worker remembers it; any other text, and any that holds the content of an added
+token such as <|endoftext|>, goes through the library as a whole.
 
 Defined cases: a null text is empty and has only the end id; documents with equal ids follow
 by text, those with a null id come last; repeated rows are separate documents; an empty table
@@ -159,17 +160,17 @@ class _Words(dict):
 
 
 class Encoder:
-    """Texts to ids, as the tokenizers library would, special strings in a text being ordinary text."""
+    """Texts to ids, as the tokenizers library would by default: the content of an added token in a text is that token."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
         known = json.loads(spec)
         pre, model = known.get("pre_tokenizer") or {}, known.get("model") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.by_word = plain and model.get("type") == "BPE" and not known.get("normalizer")
+        self.added = [t["content"] for t in known.get("added_tokens") or []]
         self.cut, self.words, self.model = Cutter(), _Words(self.word), self.library.model
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
 
@@ -180,7 +181,7 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        pieces = self.cut(text) if self.by_word else [text]
+        pieces = self.cut(text) if self.by_word and not any(a in text for a in self.added) else [text]
         return self.direct(text) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
 
 

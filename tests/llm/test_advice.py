@@ -2,7 +2,11 @@
 
 import random
 
-from quarry.llm import neardup
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from quarry.llm import neardup, tokenfile
 
 
 def test_twins_in_a_family_of_versions(spark):
@@ -36,3 +40,13 @@ def test_twins_in_a_family_of_versions(spark):
     want = {i: find(i) for i in root}
     assert len(set(want.values())) > 30 and all(want[2 * i] == want[2 * i + 1] for i in range(60))
     assert got == want
+
+
+def test_added_tokens_are_the_librarys():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        own = tokenfile.Encoder(f.read())
+    library = Tokenizer.from_file(path)
+    assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "plain words", ""):
+        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
