@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing.
 
-A text's words (long ones cut every ``PIECE`` characters) are hashed, every run of ``K``
+A text's words (each character of a script written without spaces; others cut every ``PIECE``
+characters) are hashed, every run of ``K``
 gets a hash, and of every window of ``W`` such hashes the smallest is kept, the rightmost of
 equal ones, with its place. So two texts that share K + W - 1 words in a row share a
 fingerprint, and its places say where. Everything is done by array functions in a row.
@@ -27,6 +28,8 @@ from quarry.llm.common import documents, order_bounds, order_bucket, parts_for,
 from quarry.llm.rules import bind
 
 K, W, PIECE = 5, 8, 16
+#: Scripts written without spaces, of which each character is a word: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their punctuation.
+UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{19E0}-\x{19FF}\x{2E80}-\x{312F}\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}"
 PLACES = 27
 RANGE_BYTES = 4 << 20
 
@@ -34,7 +37,7 @@ RANGE_BYTES = 4 << 20
 def marks(text: Column, k: int = K, w: int = W) -> Column:
     """The kept (hash, place) pairs as longs, in the order of places."""
     last = F.lit((1 << PLACES) - 1)
-    words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,{PIECE}}}"), F.lit(0))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
     gram = lambda h, i: F.shiftrightunsigned(F.xxhash64(*(F.get(h, i + j) for j in range(k))), 64 - 63 + PLACES)
     packed = lambda h: F.transform(upto(F.size(h) - k), lambda i: F.shiftleft(gram(h, i), PLACES).bitwiseOR(last - i))

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import neardup, tokenfile
+from quarry.llm import neardup, tokenfile, winnow
 
 
 def test_twins_in_a_family_of_versions(spark):
@@ -50,3 +51,12 @@ def test_added_tokens_are_the_librarys():
     assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "plain words", ""):
         assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_passage_shifted_within_an_unspaced_run(spark):
+    rng = random.Random(3)
+    passage = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300))
+    df = spark.createDataFrame([(passage, "中" + passage), ("ab" + passage[:40], "ไทย。" + passage[:40])], "a string, b string")
+    a, b = (winnow.hashes(winnow.marks(F.col(c))) for c in "ab")
+    first, second = df.select(winnow.likeness(a, b).alias("near")).collect()
+    assert first.near > 0.9 and second.near > 0
