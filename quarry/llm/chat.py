@@ -6,9 +6,9 @@ hash is the hash of a shorter prefix of some other one is a snapshot of that, an
 join drops it. Equal conversations form one class, of which the smallest id stays. What
 stays is rendered in parts of at most ``PART`` turns.
 
-The rolling hash is a sum over turns of two 64-bit hashes of (block, place in the block,
-role, text), where a block is ``PART`` turn numbers: sums of blocks are added up first, so
-that a conversation of any length is spread over tasks. Both joins are between distinct
+The rolling hash is a sum over turns of two 64-bit hashes of (position, role, text). Counts
+and sums of blocks of ``PART`` turn numbers are added up first, so that a conversation of any
+length is spread over tasks; how turns are numbered doesn't enter the hash. Both joins are between distinct
 keys, so that a very common first turn or conversation is one row on each side.
 
 Defined cases: turns are ordered by turn (null last), role, text, and repeated rows stay
@@ -36,22 +36,17 @@ def prefixes(turns: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "role", "text")))
-    rows = rows.withColumn("ha", F.xxhash64("block", "place", "role", "text")).withColumn("hb", F.xxhash64(F.lit("b"), "text", "role", "place", "block"))
-    blocks = rows.groupBy("conv_id", "block").agg(
-        F.count("*").alias("n"), F.sum(wide(F.col("ha"))).alias("sa"), F.sum(wide(F.col("hb"))).alias("sb")
-    )
     upto, of = Window.partitionBy("conv_id").orderBy("block"), Window.partitionBy("conv_id")
-    blocks = blocks.select(
-        F.col("conv_id").alias("_c"),
-        F.col("block").alias("_b"),
-        F.sum("n").over(of).alias("n_turns"),
-        *((F.sum(c).over(upto) - F.col(c)).alias(f"{c}0") for c in ("n", "sa", "sb")),
-    )
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))
+    counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.sum("n").over(of).alias("n_turns"), (F.sum("n").over(upto) - F.col("n")).alias("n0"))
+    rows = rows.join(counts, same).drop("_c", "_b").withColumn("pos", F.col("n0") + F.col("place"))
+    rows = rows.withColumn("ha", F.xxhash64("pos", "role", "text")).withColumn("hb", F.xxhash64(F.lit("b"), "text", "role", "pos"))
+    blocks = rows.groupBy("conv_id", "block").agg(F.sum(wide(F.col("ha"))).alias("sa"), F.sum(wide(F.col("hb"))).alias("sb"))
+    blocks = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), *((F.sum(c).over(upto) - F.col(c)).alias(f"{c}0") for c in ("sa", "sb")))
     rows = rows.withColumn("la", F.sum(wide(F.col("ha"))).over(w)).withColumn("lb", F.sum(wide(F.col("hb"))).over(w))
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-    return rows.select(
-        "conv_id", (F.col("n0") + F.col("place")).alias("pos"), "n_turns", "role", "text", (F.col("sa0") + F.col("la")).alias("a"), (F.col("sb0") + F.col("lb")).alias("b")
-    )
+    rows = rows.join(blocks, same)
+    return rows.select("conv_id", "pos", "n_turns", "role", "text", (F.col("sa0") + F.col("la")).alias("a"), (F.col("sb0") + F.col("lb")).alias("b"))
 
 
 def maximal(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import neardup, tokenfile, winnow
+from quarry.llm import chat, neardup, tokenfile, winnow
 
 
 def test_twins_in_a_family_of_versions(spark):
@@ -60,3 +61,18 @@ def test_passage_shifted_within_an_unspaced_run(spark):
     a, b = (winnow.hashes(winnow.marks(F.col(c))) for c in "ab")
     first, second = df.select(winnow.likeness(a, b).alias("near")).collect()
     assert first.near > 0.9 and second.near > 0
+
+
+def test_snapshots_numbered_otherwise(spark):
+    say = lambda i: ("user", f"t{i}")
+    rows = [(1, i, *say(i)) for i in range(1030)]  # the log, from 0
+    rows += [(2, i + 1, *say(i)) for i in range(1026)]  # from 1
+    rows += [(3, 2000 * i, *say(i)) for i in range(5)]  # with gaps
+    rows += [(4, 0, *say(0)), (4, None, *say(1))]  # the last without a number
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con, conversations = duckdb.connect(), df.toArrow()  # noqa: F841
+    want = con.sql(chat.ORACLE_SQL)
+    got = chat.render(df)
+    cols = sorted(got.columns)
+    assert sorted(str(tuple(r)) for r in got.select(cols).collect()) == sorted(map(str, want.select(*cols).fetchall()))
+    assert {r.conv_id for r in got.collect()} == {1}
