@@ -28,9 +28,11 @@ def n_words(text: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one all executors share; a folder of our own only where none is set, as in tests."""
+    """A new folder below the one all executors share; a folder of our own only in a local session where none is set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
         top = tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -48,7 +50,7 @@ def settle(df: DataFrame) -> DataFrame:
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes settled tables of which all readers are done, and has Spark's cleaner look for shuffles that nothing refers to any more."""
     jvm = spark.sparkContext._jvm
-    for t in tables:
+    for t in (t for t in tables if t is not None):
         path = jvm.org.apache.hadoop.fs.Path(t._settled_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
@@ -90,6 +92,27 @@ def parts_for(df: DataFrame, size: Column, each: int, most: int = 65536) -> int:
     return int(min(most, max(1, -(-total // each))))
 
 
+def lean(run):
+    """A function over batches whose worker process gives back to the system, at the end of each task, the memory that it doesn't hold any more."""
+
+    def give_back(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # the C library may be another than glibc
+                trim(0)
+
+    return give_back
+
+
 def memo(key, make):
     """What ``make`` gives, once for a worker process; functions that are sent to workers lose module variables after each task."""
     store = sys.__dict__.setdefault("_quarry_memo", {})

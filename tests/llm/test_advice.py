@@ -22,11 +22,11 @@ def test_twins_in_a_family_of_versions(spark):
         return w
 
     rows = []
-    for i in range(60):  # versions about 0.7 to each other, each with a twin of 0.93 or so
-        v = edited(base, 9)
-        rows += [(2 * i, " ".join(v)), (2 * i + 1, " ".join(edited(v, 3)))]
+    for i in range(60):  # versions below 0.8 to each other, each with a twin of 0.93 or so
+        v = edited(base, 32)
+        rows += [(2 * i, " ".join(v)), (2 * i + 1, " ".join(edited(v, 7)))]
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    shingles = {i: neardup.Shingler()(neardup.words_of(t)) for i, t in rows}
+    words = {i: neardup.Shingler().words(neardup.words_of(t)) for i, t in rows}
     root = {i: i for i in got}
 
     def find(i):
@@ -36,7 +36,7 @@ def test_twins_in_a_family_of_versions(spark):
 
     for a in root:
         for b in root:
-            if a < b and neardup.similarity(shingles[a], shingles[b]) >= 0.8:
+            if a < b and neardup.similarity(words[a], words[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     want = {i: find(i) for i in root}

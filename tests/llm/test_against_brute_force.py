@@ -154,16 +154,30 @@ def winnow_text(found):
     return " ".join(f"{found[0][p]:x}@{p}" for p in found[1])
 
 
+def subsequence(a, b):
+    """Length of the longest common subsequence, without a band."""
+    masks = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    row = whole = (1 << len(a)) - 1
+    for x in b:
+        up = row & masks.get(x, 0)
+        row = ((row + up) | (row - up)) & whole
+    return len(a) - row.bit_count()
+
+
 def near_pairs(docs):
-    shingles = {}
-    for i, r in docs.items():
-        w = neardup.words_of(r.text)
-        shingles[i] = Counter(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else Counter([tuple(w)])
+    """Pairs of ids with their similarity by aligned words, and by shingles."""
+    words = {i: neardup.words_of(r.text) for i, r in docs.items()}
+    bags = {i: Counter(w) for i, w in words.items()}
+    shingles = {i: Counter(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else Counter([tuple(w)]) for i, w in words.items()}
     for a in docs:
         for b in docs:
-            if a < b and min(len(shingles[a]), len(shingles[b])) >= 0.7 * max(len(shingles[a]), len(shingles[b])):
-                n = (shingles[a] & shingles[b]).total()
-                yield a, b, n / (shingles[a].total() + shingles[b].total() - n)
+            n = len(words[a]) + len(words[b])
+            if a < b and (bags[a] & bags[b]).total() >= 0.8 / 1.8 * n - 1e-6:
+                k = subsequence(words[a], words[b])
+                m = (shingles[a] & shingles[b]).total()
+                yield a, b, k / (n - k), m / (shingles[a].total() + shingles[b].total() - m)
 
 
 def test_near_duplicates(spark, docs):
@@ -175,11 +189,13 @@ def test_near_duplicates(spark, docs):
             i = root[i]
         return i
 
-    for a, b, s in near_pairs(docs):
+    for a, b, s, by_shingles in near_pairs(docs):
         if s >= 0.8:
             assert of[a] == of[b]
             a, b = sorted((find(a), find(b)))
             root[b] = a
+        else:
+            assert by_shingles < 0.8
     assert of == {i: find(i) for i in docs}
 
 
@@ -210,6 +226,19 @@ def test_banded_alignment(a, b, band):
     assert got >= table[-1][-1] and (band < 40 or got == table[-1][-1])
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=200, max_size=400), st.integers(0, 2**32), st.integers(0, 30))
+def test_banded_alignment_of_frequent_words(a, seed, edits):
+    rng, b = random.Random(seed), list(a)
+    for _ in range(edits):
+        at = rng.randrange(len(b))
+        b[at : at + rng.randrange(2)] = [rng.randrange(5)] * rng.randrange(2)
+    want = subsequence(a, b)
+    assert neardup.common(np.array(a, np.uint64), np.array(b, np.uint64), edits) == want
+    s = neardup.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert s == (want / (len(a) + len(b) - want) if want >= 0.8 / 1.8 * (len(a) + len(b)) else 0) or s < 0.8
+
+
 def test_token_file(spark, docs):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got, start = {r.doc_id: r for r in tokenfile.op10_tokenfile(spark, SF).collect()}, 0
