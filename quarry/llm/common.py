@@ -6,6 +6,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,12 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., list[Column]]]:
+    """``docs`` with all columns but ``own`` under other names, so that none can clash with an operator's; and what gives the columns back, save some."""
+    names = {c: f"_aside{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return docs.withColumnsRenamed(names), lambda *made: [F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in made]
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; an id that is null counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

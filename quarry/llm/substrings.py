@@ -3,35 +3,45 @@
 A byte goes if a string of ``SPAN`` bytes that covers it also starts anywhere else, in another
 document or the same; strings are judged on the input and never cross documents.
 
+Equal texts are one text with a number of copies: two or more copies repeat each other as a
+whole, and one of them stands for all in what follows. So copies cost nothing more.
+
 A suffix array of a whole corpus can't be held by one task, nor all suffixes be shuffled.
 Anchors split the work without losing a repeat: of the grams of ``GRAM`` bytes in a string
 of SPAN bytes, those with the least hash are anchors, so that equal strings hold equal
 anchors at equal places. Anchors whose hash occurs once can't be in a repeat. Of the others
 
 - those whose whole context, all bytes that a string with this anchor can cover, occurs
-  twice or more are repeated throughout, as its hash shows, without a look at the text;
+  twice or more are repeated throughout, as its hash shows;
 - of each different context with an equal anchor one comes to a task, which concatenates
   such contexts, less the strings whose hash is alone there, and builds their suffix array in
   two stages: suffixes smaller than their successors are sorted directly, to SPAN bytes, the
   others are induced from these by scans of buckets in ascending order. Adjacent common
   prefixes of SPAN bytes are repeats.
 
-Counts of anchors are aggregated before they are shuffled, and joins on them can be split,
-so that a passage that a third of all documents hold stays spread. Where more than ``HOT``
-different contexts share an anchor (the edges of such a passage), their strings are counted
-by 128-bit hashes instead, a row each, so that they needn't meet in one task; this is exact
-too, up to collisions, and its rows follow the contexts' number.
+Where more than ``CROWD`` different contexts share an anchor (the edges of a passage that many
+documents hold), they are split: the strings that begin furthest before the anchor from the
+others, and each half by the bytes that all its strings hold, which equal strings have equal.
+Of equal halves one goes on, halves with no other of their kind are done, and crowds are split
+again, down to single strings, of which equal ones are one. So no task ever holds a crowd,
+and every string is compared by the same suffix arrays.
+
+Counts of anchors and contexts are aggregated before they are shuffled and written before
+they are joined, so that the joins on them can be split too.
 
-Rows are known by a 64-bit hash of id and text, and contexts by 128 bits of hashes.
+Texts are told apart by 128 bits of hashes, contexts by 128 bits with their anchor's.
 
 Defined cases: a null text is empty; texts of fewer than SPAN bytes stay whole; repeated rows
-repeat each other; an empty table gives an empty result; further columns are kept by cut(),
-save those it makes; text() of a cut that splits a character drops the rest of that character.
+repeat each other; of equal contexts the one of the smallest text number and place stands for
+all; texts of any length are read in tiles; an empty table gives an empty result; further
+columns are kept by cut(), save those it makes; text() of a cut that splits a character drops
+the rest of that character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,12 +49,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, documents, settle, whole
+from quarry.llm.common import aside, discard, documents, lean, settle, whole
 
-SPAN, GRAM, HOT = 200, 64, 20_000
+SPAN, GRAM, CROWD = 200, 64, 2000
 GRAMS = SPAN - GRAM + 1
 BEFORE = GRAMS - 1
-BLOCK, TILE = 2 << 20, 1 << 22
+BLOCK, TILE = 1 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RANDOM = np.random.default_rng(1990).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -290,108 +300,131 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
             if held:
                 yield give()
 
-    return rows.select("row", "text").mapInArrow(run, "row long, place int, gram long, around long")
+    return rows.select("row", "text").mapInArrow(lean(run), "row long, place int, gram long, around long")
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted``: row, place, gram, solo, hot."""
-    spots = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("place", "gram", "solo", "hot")).alias("spots"))
-    both = rows.join(spots, F.col("row") == F.col("_row")).drop("_row")
+    """``wanted`` (row, place, gram, key, solo, crowd) with left and context, the bytes that begin ``left`` before the place."""
+    fields = ("place", "gram", "key", "solo", "crowd")
+    spots = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct(*fields)).alias("spots"))
+    both = rows.join(spots, F.col("row") == F.col("_row")).select("row", "text", "spots")
+    names = ["row", *fields, "left", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "place", "left", "gram", "solo", "hot", "context"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
         for batch in batches:
-            get = {k: batch.column(batch.schema.get_field_index(k)) for k in ("row", "text", "spots")}
-            out = [[] for _ in names]
-            for r, t, spots in zip(get["row"].to_pylist(), get["text"], get["spots"].to_pylist()):
-                data = t.as_buffer().to_pybytes()
-                for s in spots:
-                    low = max(0, s["place"] - BEFORE)
-                    for column, v in zip(out, (r, s["place"], s["place"] - low, s["gram"], s["solo"], s["hot"], data[low : s["place"] + SPAN])):
-                        column.append(v)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], names)
-                    out = [[] for _ in names]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], names)
-
-    return both.mapInArrow(run, "row long, place int, left int, gram long, solo boolean, hot boolean, context binary")
-
-
-def _by_suffixes(contexts: DataFrame) -> DataFrame:
+            for r, t, spots in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data, spots = t.as_buffer(), spots.values
+                for at in range(0, len(spots), 20_000):
+                    some = spots.slice(at, 20_000)
+                    place = some.field("place").to_numpy()
+                    low = np.maximum(place - BEFORE, 0)
+                    context = [data[i:j].to_pybytes() for i, j in zip(low.tolist(), (place + SPAN).tolist())]
+                    columns = [pa.array(np.full(len(some), r.as_py())), *(some.field(f) for f in fields), pa.array(place - low, pa.int32()), pa.array(context, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return both.mapInArrow(lean(run), PIECE)
+
+
+PIECE = "row long, place int, gram long, key long, solo boolean, crowd boolean, left int, context binary"
+
+
+def _by_suffixes(pieces: DataFrame) -> DataFrame:
+    """(row, bytes) of the strings of solo pieces that occur in other pieces of equal gram and key too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, powers = 0, Powers()
 
         def give():
-            row, place, left, gram, solo, text = zip(*held)
-            row, place, left, gram, solo = (np.array(v, k) for v, k in ((row, np.int64), (place, np.int64), (left, np.int64), (gram, np.int64), (solo, bool)))
-            c, first, end = repeats(list(text), left, row, place, gram, powers)
+            row, place, left, gram, key, solo, text = zip(*held)
+            row, place, left, gram, key, solo = (np.array(v, k) for v, k in ((row, np.int64), (place, np.int64), (left, np.int64), (gram, np.int64), (key, np.int64), (solo, bool)))
+            c, first, end = repeats(list(text), left, row, place, gram ^ key, powers)
             mine = solo[c]
             return pa.RecordBatch.from_arrays([pa.array(row[c[mine]]), pa.array((first[mine] << 32) | end[mine])], ["row", "bytes"])
 
         for batch in batches:
-            for item in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if size >= BLOCK and item[3] != held[-1][3]:
+            for item in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if size >= BLOCK and item[3:5] != held[-1][3:5]:
                     yield give()
                     held, size = [], 0
                 held.append(item)
-                size += len(item[5])
+                size += len(item[6])
         if held:
             yield give()
 
-    dealt = contexts.select("row", "place", "left", "gram", "solo", "context").repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "row long, bytes long")
+    dealt = pieces.select("row", "place", "left", "gram", "key", "solo", "context").repartition("gram", "key").sortWithinPartitions("gram", "key")
+    return dealt.mapInArrow(lean(run), "row long, bytes long")
 
 
-def _by_hashes(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: strings as rows."""
+def _stretch(place: Column, left: Column, size: Column) -> Column:
+    low = (place - left).cast("long")
+    return F.shiftleft(low, 32).bitwiseOR(low + size).alias("bytes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        up, down = powers.upto(2 * SPAN + BEFORE)
-        for batch in batches:
-            for row, place, left, gram, solo, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                data = np.frombuffer(text, np.uint8)
-                n = min(left, len(data) - SPAN) + 1
-                if n <= 0:
-                    continue
-                made = []
-                for turn in (0, 1):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.roll(_RANDOM, turn)[data] * up[: len(data)])])
-                    made.append(_mix((sums[SPAN : SPAN + n] - sums[:n]) * down[:n] + np.uint64(gram % (1 << 64))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.arange(n) + place - left), pa.array([solo] * n), *(pa.array(m) for m in made)], ["row", "first", "solo", "ha", "hb"])
-
-    strings = contexts.select("row", "place", "left", "gram", "solo", "context").mapInArrow(run, "row long, first long, solo boolean, ha long, hb long")
-    who = F.xxhash64("row", "first")
-    twice = strings.groupBy("ha", "hb").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("ha", "hb")
-    return strings.where("solo").join(twice, ["ha", "hb"], "left_semi").select("row", F.shiftleft("first", 32).bitwiseOR(F.col("first") + SPAN).alias("bytes"))
+
+def _split(pieces: DataFrame) -> DataFrame:
+    """Halves of pieces whose strings begin ``first`` to ``last`` bytes before their place: with kind, a hash of all that a half is.
+
+    A half's new key is a hash of the bytes that all strings of the half hold, of which equal strings have equal ones.
+    """
+    middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+    halves = F.explode(F.array(F.struct(F.col("first"), middle.alias("last")), F.struct((middle + 1).alias("first"), F.col("last"))))
+    rows = pieces.withColumn("half", halves).withColumns({"first": F.col("half.first"), "last": F.col("half.last")}).where("first <= last")
+    least = F.col("left") + SPAN - F.length("context")  # the strings of a piece begin so far before its place, or up to left
+    rows = rows.withColumns({"_low": F.greatest("first", least), "_high": F.least("last", "left")}).where("_low <= _high")
+    core = F.substring("context", F.col("left") - F.col("first") + 1, F.col("first") - F.col("last") + SPAN)
+    body = F.substring("context", F.col("left") - F.col("_high") + 1, F.col("_high") - F.col("_low") + SPAN)
+    rows = rows.withColumns({"key": F.xxhash64("first", "key", core), "context": body, "left": F.col("_high")})
+    return rows.withColumn("kind", F.xxhash64("left", "context")).drop("half", "_low", "_high", "crowd")
+
+
+def _kinds(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each kind the number and the first piece, and of each key the number of kinds where there are several. ``pieces``: row, place, gram, key, kind."""
+    kinds = settle(pieces.groupBy("gram", "key", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
+    keys = kinds.groupBy("gram", "key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return kinds, settle(keys)
+
+
+def _judged(pieces: DataFrame, kinds: DataFrame, keys: DataFrame) -> DataFrame:
+    """``pieces`` of keys of several kinds, or of kinds of several pieces, with n, crowd and chosen, true for one piece of each kind of the former."""
+    kinds = kinds.select(*(F.col(c).alias(f"_{c}") for c in ("gram", "key", "kind")), "n", "one")
+    keys = keys.select(F.col("gram").alias("_g"), F.col("key").alias("_k"), "kinds")
+    out = pieces.join(kinds, (F.col("gram") == F.col("_gram")) & (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind"))).drop("_gram", "_key", "_kind")
+    out = out.join(keys, (F.col("gram") == F.col("_g")) & (F.col("key") == F.col("_k")), "left").where("n > 1 OR kinds IS NOT NULL")
+    chosen = (F.struct("row", "place") == F.col("one")) & F.col("kinds").isNotNull()
+    return out.withColumns({"chosen": chosen, "crowd": F.coalesce(F.col("kinds") > CROWD, F.lit(False))}).drop("_g", "_k", "one", "kinds")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(row, bytes) for each covered stretch: first << 32 | end, which may go beyond the text's end. ``rows``: row, text and more."""
+    """(row, bytes) for each covered stretch: first << 32 | end, which may go beyond the text's end. ``rows``: row, text, both unique."""
     spark, every = rows.sparkSession, settle(_anchor_rows(rows))
-    many = settle(every.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1"))  # written, so that nothing but exchanges stands below the join, which can then split hot anchors
+    many = settle(every.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1"))
+    discard(spark)
     found = settle(every.join(many, F.col("gram") == F.col("_gram")).select("row", "place", "gram", "around", (F.col("lo") != F.col("hi")).alias("several")))
     discard(spark, every, many)
-    who = F.xxhash64("row", "place")
-    kinds = found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(who).alias("one"))
-    crowd = kinds.groupBy("gram").agg(F.count("*").alias("contexts"))
-    kinds = settle(kinds.join(crowd, "gram").select(F.col("gram").alias("_gram"), F.col("around").alias("_around"), "n", "one", (F.col("contexts") > HOT).alias("hot")))
-    judged = found.where(F.col("several")).join(kinds, (F.col("gram") == F.col("_gram")) & (F.col("around") == F.col("_around")))
-    judged = settle(judged.select("row", "place", "gram", "n", "hot", (F.xxhash64("row", "place") == F.col("one")).alias("chosen")))
-    discard(spark, kinds)
-    low, high = F.greatest(F.col("place") - BEFORE, F.lit(0)).cast("long"), F.col("place") + SPAN
-    stretch = F.shiftleft(low, 32).bitwiseOR(high.cast("long")).alias("bytes")
-    throughout = found.where(~F.col("several")).select("row", stretch).union(judged.where("n > 1").select("row", stretch))
-    wanted = judged.where("chosen").select("row", "place", "gram", (F.col("n") == 1).alias("solo"), "hot")
-    out = throughout.union(_by_suffixes(_contexts(rows, wanted.where(~F.col("hot")))))
-    crowded = wanted.where("hot")
-    if not crowded.isEmpty():
-        out = out.union(_by_hashes(_contexts(rows, crowded)))
-    out = settle(out)
-    discard(spark, found, judged)
+    several = found.where("several").select("row", "place", "gram", F.lit(0).cast("long").alias("key"), F.col("around").alias("kind"))
+    kinds, keys = _kinds(several)
+    judged = settle(_judged(several, kinds, keys))
+    discard(spark, kinds, keys)
+    left = F.least(F.col("place"), F.lit(BEFORE))
+    around = _stretch(F.col("place"), left, left + SPAN)
+    out = [found.where(~F.col("several")).select("row", around), judged.where("n > 1").select("row", around)]
+    wanted = judged.where("chosen").select("row", "place", "gram", "key", (F.col("n") == 1).alias("solo"), "crowd")
+    pieces = settle(_contexts(rows, wanted))
+    spent = [found, judged, pieces]
+    out.append(_by_suffixes(pieces.where(~F.col("crowd"))))
+    crowds = pieces.where("crowd").withColumns({"first": F.lit(0), "last": F.lit(BEFORE)})
+    while not crowds.isEmpty():  # halves of halves: each string by itself after eight turns
+        halves = settle(_split(crowds))
+        kinds, keys = _kinds(halves)
+        judged = settle(_judged(halves, kinds, keys))
+        discard(spark, halves, kinds, keys)
+        spent.append(judged)
+        out.append(judged.where("n > 1 AND solo").select("row", _stretch(F.col("place"), F.col("left"), F.length("context"))))
+        chosen = judged.where("chosen").withColumn("solo", F.col("solo") & (F.col("n") == 1)).drop("n", "chosen", "kind")
+        out.append(_by_suffixes(chosen.where(~F.col("crowd"))))
+        crowds = chosen.where("crowd")
+    out = settle(reduce(DataFrame.union, out))
+    discard(spark, *spent)
     return out
 
 
@@ -417,13 +450,22 @@ def _cut(text: pd.Series, stretches: pd.Series) -> pd.DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """``docs`` with n_bytes, kept (the bytes that stay) and removed (first, end, first, end, ... of the maximal removed runs)."""
-    rows = docs.withColumn("_whole", whole()).withColumn("_row", F.xxhash64("doc_id", "_whole"))
-    texts = rows.select(F.col("_row").alias("row"), F.col("_whole").alias("text"))
-    stretches = repeated(texts).groupBy(F.col("row").alias("_r")).agg(F.collect_list("bytes").alias("_bytes"))
-    made = F.pandas_udf(_cut, "n_bytes long, kept binary, removed array<long>")
-    out = rows.join(stretches, F.col("_row") == F.col("_r"), "left").withColumn("_made", made("_whole", "_bytes"))
     names = ("n_bytes", "kept", "removed")
-    return out.select(*(c for c in docs.columns if c not in names), *(F.col(f"_made.{k}").alias(k) for k in names))
+    spark, (own, back) = docs.sparkSession, aside(docs, "text")
+    rows = own.withColumn("_whole", whole()).withColumns({"_a": F.xxhash64("_whole"), "_b": F.xxhash64(F.lit("b"), "_whole")})
+    texts = rows.groupBy("_a", "_b").agg(F.first("_whole").alias("text"), F.count("*").alias("copies"))
+    texts = settle(texts.select(F.monotonically_increasing_id().alias("row"), "_a", "_b", "text", "copies"))
+    discard(spark)
+    found = repeated(texts.select("row", "text"))
+    size = F.octet_length("text").cast("long")
+    stretches = found.union(texts.where((F.col("copies") > 1) & (size >= SPAN)).select("row", size.alias("bytes")))
+    by_text = stretches.groupBy(F.col("row").alias("_row")).agg(F.collect_list("bytes").alias("_bytes"))
+    by_text = by_text.join(texts.select("row", F.col("_a").alias("_ta"), F.col("_b").alias("_tb")), F.col("row") == F.col("_row"))
+    by_text = settle(by_text.select("_ta", "_tb", "_bytes"))
+    discard(spark, found, texts)
+    made = F.pandas_udf(_cut, "n_bytes long, kept binary, removed array<long>")
+    out = rows.join(by_text, (F.col("_a") == F.col("_ta")) & (F.col("_b") == F.col("_tb")), "left").withColumn("_made", made("_whole", "_bytes"))
+    return out.select(*back(*names), *(F.col(f"_made.{k}").alias(k) for k in names))
 
 
 def text() -> Column:

@@ -70,12 +70,57 @@ def test_substrings(spark, docs):
         assert got.kept_sha256 == sha(bytes(x for x, g in zip(b, gone) if not g))
 
 
-def test_crowded_anchors_by_hashes(spark, docs, monkeypatch):
+def test_crowded_anchors_are_split(spark, docs, monkeypatch):
     want = sorted(map(str, substrings.op2_substrings(spark, SF).collect()))
-    monkeypatch.setattr(substrings, "HOT", 1)
+    monkeypatch.setattr(substrings, "CROWD", 1)
     assert sorted(map(str, substrings.op2_substrings(spark, SF).collect())) == want
 
 
+def removed(texts):
+    """Of each text the runs that strings of 200 bytes which occur twice cover."""
+    seen, out = Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199)), []
+    for b in texts:
+        runs = []
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                if runs and runs[-1] >= i:
+                    runs[-1] = i + 200
+                else:
+                    runs += [i, i + 200]
+        out.append(runs)
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2000, 7])
+def test_passage_in_many_texts(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    rng = random.Random(7)
+    say = lambda n: "".join(chr(rng.choice((97, 98, 99, 233))) for _ in range(n))
+    passage, tail = say(700), say(150)
+    texts = [say(rng.randrange(60)) + passage + tail[: rng.randrange(150)] + say(rng.randrange(90)) for _ in range(60)]
+    texts += [say(400), passage[100:320], passage[:90], "ab" * 500, texts[0], texts[1][:500], say(10) + texts[2][50:600] + say(30)] + [texts[3]] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: list(r.removed) for r in substrings.cut(df).collect()}
+    assert [got[i] for i in range(len(texts))] == removed([t.encode() for t in texts])
+
+
+def test_equal_rows_cost_as_one(spark, monkeypatch):
+    """A thousand equal rows make as many anchors as one."""
+    made, plain = [], substrings._anchor_rows
+
+    def counted(rows):
+        out = plain(rows)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "_anchor_rows", counted)
+    t = " ".join(f"w{i}" for i in range(900))
+    for n in (1, 1000):
+        df = spark.range(n).selectExpr("id % 3 AS doc_id", f"'{t}' AS text")
+        assert {len(r.removed) for r in substrings.cut(df).collect()} == {0 if n == 1 else 2}
+    assert made[0] == made[1] > 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 4), st.integers(0, 2**32), st.integers(1, 500))
 def test_suffix_array(letters, seed, n):
