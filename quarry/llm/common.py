@@ -61,7 +61,15 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., list[Column]]]:
     """``docs`` with all columns but ``own`` under other names, so that none can clash with an operator's; and what gives the columns back, save some."""
     names = {c: f"_aside{i}" for i, c in enumerate(docs.columns) if c not in own}
-    return docs.withColumnsRenamed(names), lambda *made: [F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in made]
+    return docs.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns)), lambda *made: [F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in made]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or one made of it that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def remainder(doc_id: str | Column, n: int) -> Column:
@@ -71,11 +79,18 @@ def remainder(doc_id: str | Column, n: int) -> Column:
 
 
 def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts`` - 1 ascending cut points of an integer key, at about even quantiles."""
+    """At most ``parts`` - 1 ascending cut points of an integer key, at about even quantiles.
+
+    Quantiles of distinct keys sampled by hash, about 64 a part, in few tasks, so that no summary grows with the table.
+    """
     if parts < 2:
         return []
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"))
+    n = keys.agg(F.approx_count_distinct("k")).first()[0]
+    share = F.xxhash64("k").cast("double") / F.lit(2.0**64) + 0.5
+    keys = keys.where(share * n <= 64 * parts).distinct()
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(key, at, 100 * parts if parts <= 100 else 20 * parts).alias("q")).first()["q"]
+    got = keys.coalesce(8).agg(F.percentile_approx("k", at, max(10_000, 10 * parts)).alias("q")).first()["q"]
     return sorted(set(got or []))
 
 

@@ -12,9 +12,10 @@ first, so that each range only needs its own rows and one offset. Only the table
 is sorted in one task; it has one row a source.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of its
-own, after all others; repeated rows are separate documents; equal ids queue by size; an
-empty table gives an empty result; columns that are already there keep their values, save
-those that this operator makes, which it replaces.
+own, after all others; repeated rows are separate documents; equal ids queue by size, and of
+equal ids and sizes either may come first; a text of any length counts by its words; an empty
+table gives an empty result; further columns of any names keep their values, save those that
+this operator makes, which it replaces.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, n_words
+from quarry.llm.common import aside, documents, n_words, settle, unused
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -84,8 +85,11 @@ def assign(docs: DataFrame, size: Column, schedules: Sequence[Schedule] = CURRIC
     """``docs`` with size, source_size, target, copies, taken and positions, the training times of the copies."""
     for s in schedules:
         check(s)
+    made_here = ("size", "source_size", "target", "copies", "taken", "positions")
+    given = unused(docs, "_given")
+    docs, back = aside(docs.withColumn(given, size.cast("long")), "doc_id", "source", given)
     queue = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    made = docs.withColumns({"size": size.cast("long"), "_queue": queue}).withColumn("_range", F.shiftright("_queue", 48).cast("int"))
+    made = docs.withColumns({"size": F.col(given), "_queue": queue}).withColumn("_range", F.shiftright("_queue", 48).cast("int"))
     ranges = made.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     to = targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), schedules, share, cap)
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum")
@@ -94,8 +98,7 @@ def assign(docs: DataFrame, size: Column, schedules: Sequence[Schedule] = CURRIC
         F.col("source").alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "pattern", "target"
     )
     running = F.sum("size").over(Window.partitionBy("source", "_range").orderBy("_queue", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    old = [c for c in ("source_size", "target", "copies", "taken", "positions") if c in docs.columns]
-    rows = made.drop(*old).withColumn("_in", running - F.col("size"))
+    rows = made.withColumn("_in", running - F.col("size"))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     middle = F.col("_before") + F.col("_in") + F.col("size") / 2
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -104,7 +107,7 @@ def assign(docs: DataFrame, size: Column, schedules: Sequence[Schedule] = CURRIC
     rows = rows.withColumns({"copies": (epochs + more).cast("int"), "_middle": middle})
     at = [F.when(F.col("copies") > k, time_of(place(F.lit(k)), schedules)) for k in range(int(cap) + 1)]
     return rows.withColumns({"taken": F.col("copies") * F.col("size"), "positions": F.array_compact(F.array(*at))}).select(
-        *(c for c in docs.columns if c not in {"size", *old}), "size", "source_size", "target", "copies", "taken", "positions"
+        *back(given, *made_here), *made_here
     )
 
 
@@ -118,13 +121,15 @@ def time_of(share: Column, schedules: Sequence[Schedule]) -> Column:
 def mix(docs: DataFrame, size: Column | None = None, **how) -> DataFrame:
     """The training order: the columns of ``docs``, a row for each copy, range-sorted by the copy's position."""
     n = size if size is not None else n_words(F.coalesce(F.col("text"), F.lit("")))
-    rows = assign(docs, n, **how).withColumn("position", F.explode("positions"))
-    return rows.orderBy("position", "doc_id").select(*docs.columns, "position")
+    words = unused(docs, "_words")
+    own, back = aside(docs.withColumn(words, n), "doc_id", "source", words)
+    rows = assign(own, F.col(words), **how).withColumn("position", F.explode("positions"))
+    return rows.orderBy("position", "doc_id").select(*back(words, "position"), "position")
 
 
 def op1_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    sized = docs.select("doc_id", "source", n_words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    sized = settle(docs.select("doc_id", "source", n_words(F.coalesce(F.col("text"), F.lit(""))).alias("words")))  # read twice
     rows = assign(sized, F.col("words"))
     first = F.round(F.get("positions", F.lit(0)), 6).alias("first_position")
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", first).orderBy(F.asc_nulls_last("first_position"), "doc_id")
