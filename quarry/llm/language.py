@@ -5,14 +5,17 @@ the family, one-versus-one linear support vector machines (squared hinge) vote.
 the family's probability times the mean, over the winner's pairs, of the probability that a
 logistic fit gives its margin.
 
-Models are fitted on at most ``SAMPLE`` rows, the first of each language by a hash of their
-ids, ``EACH`` at most; that bound and the number of buckets bound the driver's memory and
-the broadcast. Counts are taken of whole texts.
+Models are fitted on at most ``SAMPLE`` rows, the first of each of the ``LANGUAGES`` most
+frequent languages by a hash of id and text, ``EACH`` at most; these bounds and the number of
+buckets bound the driver's memory and the broadcasts. Rows equal in language, id and text are
+one example. Counts are taken of whole texts and sent as the buckets that aren't empty.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every
 text if there is nothing to learn from; one language alone is predicted with score 1; codes
-that the family table lacks form the family ``other``; equal ids in the sample are all used;
-repeated rows are predicted alike; an empty table gives an empty result.
+that the family table lacks form the family ``other``; equal hashes are one example; of equally
+likely languages the first by code is predicted; repeated rows are predicted alike; a text of
+any length makes one vector of fixed size; an empty table gives an empty result; columns
+lang_pred and score are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, remainder, whole
+from quarry.llm.common import aside, discard, documents, remainder, settle, whole
 
-BUCKETS, EACH, SAMPLE = 1 << 13, 600, 6000
+BUCKETS, EACH, SAMPLE, LANGUAGES = 1 << 13, 600, 6000, 1000
 
 # Language codes by family.
 FAMILIES = {
@@ -89,12 +92,12 @@ def _softmax(s: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x1: np.ndarray, langs: list[str]):
+        """``x1``: vectors with a last column of ones."""
         self.langs = sorted(set(langs))
         y = np.array(langs)
         self.families = sorted({FAMILY.get(c, "other") for c in self.langs})
         self.members = {f: [c for c in self.langs if FAMILY.get(c, "other") == f] for f in self.families}
-        x1 = _with_one(x)
         fam = np.array([self.families.index(FAMILY.get(c, "other")) for c in langs])
         self.family = self._family(x1, fam)
         self.pairs = {f: [(a, b, *self._pair(x1[(y == a) | (y == b)], y[(y == a) | (y == b)] == a)) for a, b in itertools.combinations(m, 2)] for f, m in self.members.items()}
@@ -144,25 +147,52 @@ class Model:
         return out, score
 
 
+def _sparse(text: pd.Series) -> pd.Series:
+    """Buckets that aren't empty, two bytes each, and then their values, four bytes each."""
+
+    def one(t: str) -> bytes:
+        v = trigrams(t)
+        at = np.flatnonzero(v)
+        return at.astype("<u2").tobytes() + v[at].astype("<f4").tobytes()
+
+    return text.map(one)
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, key) of the rows to learn from, at most SAMPLE; the key is a hash of id and text."""
+    keys = docs.where(F.col("lang").isNotNull() & whole().rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("key")).distinct()
+    keys = settle(keys)
+    counts = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("_lang"), "count")
+    # the first of a language's n hashes lie below a share of the range that n tells, so few rows are ranked however large a language is
+    share = F.col("key").cast("double") / F.lit(2.0**64) + 0.5
+    few = keys.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).where(share * F.col("count") <= 4 * EACH)
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("_n") <= EACH)
+    out = settle(few.orderBy("_n", "lang").limit(SAMPLE).select(F.col("lang").alias("_lang"), F.col("key").alias("_key")))
+    discard(docs.sparkSession, keys)
+    return out
+
+
 def fit(docs: DataFrame) -> Model | None:
     """From a bounded sample of ``docs`` (doc_id, text, lang); None if no row has a language and a letter."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL").select("lang", "doc_id")
-    # the first of a language's n hashes lie below a share of the range that n tells, so few rows are ranked however large a language is
-    share = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
-    ids = ids.join(ids.groupBy("lang").count(), "lang").where(share * F.col("count") <= 4 * EACH)
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= EACH)
-    ids = ids.orderBy("_n", "lang").limit(SAMPLE).select("doc_id").distinct()
-    rows = docs.where(F.col("lang").isNotNull() & whole().rlike(r"\p{L}")).join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE ids
-    counts = F.pandas_udf(lambda s: s.map(lambda t: trigrams(t).tobytes()), "binary")
-    got = rows.select("lang", F.xxhash64("text").alias("h"), counts("text").alias("x")).toPandas().sort_values(["lang", "h"], kind="stable")
-    if not len(got):
+    some = sample(docs)
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.join(F.broadcast(some), (F.col("lang") == F.col("_lang")) & (F.col("key") == F.col("_key")), "left_semi")  # at most SAMPLE rows
+    rows = rows.dropDuplicates(["lang", "key"]).select("lang", "key", F.pandas_udf(_sparse, "binary")("text").alias("x"))
+    got = sorted(tuple(r) for r in rows.toLocalIterator())
+    discard(docs.sparkSession, some)
+    if not got:
         return None
-    return Model(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]), list(got["lang"]))
+    x1 = np.zeros((len(got), BUCKETS + 1), np.float32)
+    x1[:, -1] = 1
+    for row, (_, _, x) in zip(x1, got):
+        n = len(x) // 6
+        row[np.frombuffer(x, "<u2", n)] = np.frombuffer(x, "<f4", n, 2 * n)
+    return Model(x1, [r[0] for r in got])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
+    docs, back = aside(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(text: pd.Series) -> pd.DataFrame:
@@ -177,7 +207,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         return pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0, 1)})
 
     udf = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("_found", udf("text")).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    names = ("lang_pred", "score")
+    return docs.withColumn("_found", udf("text")).select(*back(*names), *(F.col(f"_found.{k}").alias(k) for k in names))
 
 
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
