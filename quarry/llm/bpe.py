@@ -14,8 +14,9 @@ Decoding joins ids to the table of token bytes, which has as many rows as the vo
 A text with characters on whose class regular expression engines may differ is a word of its
 own and goes through the library as a whole.
 
-Defined cases: a null text is empty and has no ids; repeated rows are separate documents; an
-empty table gives an empty result; columns named ids or decoded are replaced, others kept.
+Defined cases: a null text is empty and has no ids; repeated rows are separate documents; a
+text longer than a chunk is a chunk of its own and must fit a task; an empty table gives an
+empty result; columns named ids or decoded are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import documents, memo, parts_for, whole
+from quarry.llm.common import documents, lean, memo, parts_for, whole
 from quarry.llm.pretokens import Cutter
 
 CHUNK_BYTES, DESKS = 16 << 20, 1 << 14
@@ -88,7 +89,8 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
     seed = [n for f, n in zip(kept, names) if f.name == "doc_id"]
     chunks = parts_for(docs, F.octet_length(whole()), CHUNK_BYTES, 1 << 30)
     desks = min(chunks, DESKS)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*seed, "_text"), F.lit(chunks)).cast("long")).repartition("chunk")
+    # repeated rows of different input partitions go to different chunks
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*seed, "_text", F.spark_partition_id()), F.lit(chunks)).cast("long")).repartition("chunk")
     shared = docs.sparkSession.sparkContext.broadcast(blob)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +155,8 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
         columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(decoded, pa.binary())]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, want)], names=want.names)
 
-    asked = dealt.sortWithinPartitions("chunk").mapInArrow(ask, "desk int, chunk long, words binary")
-    answers = asked.repartition("desk").sortWithinPartitions("desk").mapInArrow(answer, "desk int, chunk long, ids binary")
+    asked = dealt.sortWithinPartitions("chunk").mapInArrow(lean(ask), "desk int, chunk long, words binary")
+    answers = asked.repartition("desk").sortWithinPartitions("desk").mapInArrow(lean(answer), "desk int, chunk long, ids binary")
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(place, out_type)
     return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)), "ids", "decoded")
 
