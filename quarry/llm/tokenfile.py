@@ -13,8 +13,9 @@ its rows are segments, each a self-contained payload of whole documents:
 A block's width holds ``SHARE`` of its differences; the rest are exceptions, whose low bits
 are packed all the same. The starts make a block readable alone.
 
-Segments belong to shards, ranges of document ids; the start of a document in the whole
-file is the sum of ids of the shards, of the segments, and of the documents before it.
+Segments belong to shards, ranges of document ids, each written by one task in ascending order,
+as one part file or more whose names ascend too; the start of a document in the whole file is
+the sum of ids of the shards, of the segments, and of the documents before it.
 
 Texts of characters on whose class all regular expression engines agree are cut into
 pre-tokens here and each distinct pre-token goes through the tokenizers library once for as
@@ -22,7 +23,8 @@ long as a worker remembers it; any other text, and any that holds the content of
 token such as <|endoftext|>, goes through the library as a whole.
 
 Defined cases: a null text is empty and has only the end id; documents with equal ids follow
-by text, those with a null id come last; repeated rows are separate documents; an empty table
+by a hash of their text, those with a null id come last; repeated rows are separate documents;
+a very long text makes one large segment, as segments hold whole documents; an empty table
 makes an empty file; other columns are ignored.
 """
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, order_bounds, order_bucket, memo, parts_for, scratch, whole
+from quarry.llm.common import documents, lean, memo, parts_for, scratch, whole
 from quarry.llm.pretokens import Cutter
 
 MAGIC, VERSION, BLOCK, SHARE = 0x51504652, 1, 256, 0.9
@@ -187,15 +189,18 @@ class Encoder:
 
 def encode_segments(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
     """Segments of all documents. ``spec``: the tokenizer's JSON, which has a bounded size, as its vocabulary has."""
-    rows = docs.select("doc_id", whole().alias("text"))
-    bounds = order_bounds(rows, "doc_id", parts_for(rows, F.octet_length("text"), SHARD_BYTES))
-    rows = rows.withColumn("shard", order_bucket("doc_id", bounds)).repartition("shard")
-    rows = rows.sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), "text").select("shard", F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    n = parts_for(rows, F.octet_length("text"), SHARD_BYTES)
+    order = [F.asc_nulls_last("doc_id"), "hash"]  # the hash splits a hot id, and ranges of it are cheap to sample
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     shared, tail = docs.sparkSession.sparkContext.broadcast(spec), np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encode = memo(("encoder", shared.value), lambda: Encoder(shared.value))
-        shard, segment, ids, names, lengths, held = None, 0, [], [], [], 0
+        shard = TaskContext.get().partitionId()  # ranges ascend with it
+        segment, ids, names, lengths, held = 0, [], [], [], 0
 
         def flush():
             flat = np.frombuffer(b"".join(ids), "<u4")
@@ -203,13 +208,11 @@ def encode_segments(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["shard", "segment", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for s, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if names and (s != shard or held >= SEGMENT_IDS):
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if names and held >= SEGMENT_IDS:
                     yield flush()
                     segment, ids, names, lengths, held = segment + 1, [], [], [], 0
-                if s != shard:
-                    shard, segment = s, 0
-                got = encode(t) + tail
+                got = encode(t.as_py()) + tail
                 ids.append(got)
                 names.append(d)
                 lengths.append(len(got) // 4)
@@ -217,7 +220,7 @@ def encode_segments(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
         if names:
             yield flush()
 
-    return rows.mapInArrow(run, SEGMENT)
+    return rows.mapInArrow(lean(run), SEGMENT)
 
 
 def write(docs: DataFrame, path: str, spec: str, end: int = 0) -> None:
@@ -257,7 +260,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["shard", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
-    docs = segments.select("shard", "segment", "payload").mapInArrow(run, "shard int, segment int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = segments.select("shard", "segment", "payload").mapInArrow(lean(run), "shard int, segment int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     rows = docs.join(starts(segments.drop("payload")), ["shard", "segment"])
     return rows.select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
