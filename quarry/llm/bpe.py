@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import documents, lean, memo, parts_for, whole
+from quarry.llm.common import documents, give_back, lean, memo, parts_for, whole
 from quarry.llm.pretokens import Cutter
 
-CHUNK_BYTES, DESKS = 16 << 20, 1 << 14
+CHUNK_BYTES, PART_BYTES, DESKS = 16 << 20, 1 << 20, 1 << 14
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
@@ -104,13 +104,12 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
 
         for batch in batches:
             text_at, chunk_at = batch.schema.get_field_index("_text"), batch.schema.get_field_index("chunk")
-            for c, t in zip(batch.column(chunk_at).to_pylist(), batch.column(text_at).to_pylist()):
+            for c, t in zip(batch.column(chunk_at).to_pylist(), batch.column(text_at)):
                 if c != chunk:
                     if words:
                         yield give()
                     chunk, words = c, set()
-                if t:
-                    words.update(cut(t))
+                words.update(cut(t.as_py() or ""))
         if words:
             yield give()
 
@@ -134,26 +133,37 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         cut, table = Cutter(), memo(("bytes", shared.value), lambda: {i: b for b, i in load_ranks(shared.value).items()})
-        texts, words, known = left.column("_text").to_pylist(), set(), {}
-        for t in texts:
-            if t:
-                words.update(cut(t))
+        words, known, want = set(), {}, _arrow(out_type)
+        for t in left.column("_text"):
+            words.update(cut(t.as_py() or ""))
         asked = requests(words, desks)
-        for desk, ids in zip(right.column("desk").to_pylist(), right.column("ids").to_pylist()):
-            known.update(zip((w.decode() for w in asked[desk]), unpack(ids)))
-        raw, sizes, decoded = [], [], []
-        for t in texts:
-            one = b"".join(map(known.__getitem__, cut(t))) if t else b""
-            raw.append(one)
-            sizes.append(len(one) // 4)
-            decoded.append(b"".join(map(table.__getitem__, np.frombuffer(one, "<u4").tolist())))
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
-        values = np.frombuffer(b"".join(raw), "<i4")
-        want = _arrow(out_type)
-        columns = [left.column(n) for n in names]
-        columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(decoded, pa.binary())]
-        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, want)], names=want.names)
+        del words
+        for desk, ids in zip(right.column("desk").to_pylist(), right.column("ids")):
+            known.update(zip((w.decode() for w in asked.pop(desk)), unpack(ids.as_py())))
+
+        def some(rows: pa.Table) -> pa.Table:
+            raw, sizes, decoded = [], [], []
+            for t in rows.column("_text"):
+                one = b"".join(map(known.__getitem__, cut(t.as_py() or "")))
+                raw.append(one)
+                sizes.append(len(one) // 4)
+                decoded.append(b"".join(map(table.__getitem__, np.frombuffer(one, "<u4").tolist())))
+            offsets = np.zeros(len(sizes) + 1, np.int32)
+            np.cumsum(sizes, out=offsets[1:])
+            values = np.frombuffer(b"".join(raw), "<i4")
+            columns = [rows.column(n) for n in names]
+            columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(decoded, pa.binary())]
+            return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, want)], names=want.names)
+
+        # answers leave in parts, so that neither side holds lists of a whole chunk
+        sizes, at, parts = np.cumsum([len(t.as_buffer() or b"") if t.is_valid else 0 for t in left.column("_text")]), 0, []
+        while at < left.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, side="right")))
+            parts.append(some(left.slice(at, end - at)))
+            at = end
+        known.clear()
+        give_back()
+        return pa.concat_tables(parts) if parts else some(left)
 
     asked = dealt.sortWithinPartitions("chunk").mapInArrow(lean(ask), "desk int, chunk long, words binary")
     answers = asked.repartition("desk").sortWithinPartitions("desk").mapInArrow(lean(answer), "desk int, chunk long, ids binary")

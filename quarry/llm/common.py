@@ -114,25 +114,29 @@ def parts_for(df: DataFrame, size: Column, each: int, most: int = 65536) -> int:
     return int(min(most, max(1, -(-total // each))))
 
 
+def give_back() -> None:
+    """Has a worker process give back to the system the memory that it doesn't hold any more."""
+    import ctypes
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library may be another than glibc
+        trim(0)
+
+
 def lean(run):
-    """A function over batches whose worker process gives back to the system, at the end of each task, the memory that it doesn't hold any more."""
+    """A function over batches that ends each task with give_back()."""
 
-    def give_back(batches):
+    def task(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow
-
-            gc.collect()
-            pyarrow.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:  # the C library may be another than glibc
-                trim(0)
+            give_back()
 
-    return give_back
+    return task
 
 
 def memo(key, make):
