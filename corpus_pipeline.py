@@ -3,11 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which is what its
 predecessor kept; all but the last return the columns of documents.
 
-- language: drops documents that have no letter or whose language can't be told
+- language: drops documents that have no letter or whose language can't be told; where no row
+  teaches a language, only those without a letter
 - near_duplicates: keeps one document of each class of near copies
 - repeated_strings: cuts every string of 200 bytes that stands elsewhere too
-- mixture: repeats and drops documents to meet the sources' targets, in training order
-- tokens: ids and decoded bytes of each document, as digests
+- mixture: repeats and drops documents to meet the sources' targets; its table is written in
+  training order, part file by part file (it has the columns of documents, so no position)
+- tokens: ids and decoded bytes of each document, as digests, in no order
+
+Defined cases: null texts and texts without a letter go in the first stage; a null id, language
+or source stays; of equal rows one stays; a text that is cut to nothing stays as an empty one;
+further columns of any names keep their values; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, substrings
 from quarry.llm import language as lang_id
-from quarry.llm.common import documents, remainder, settle
+from quarry.llm.common import aside, documents, remainder, settle
 
 #: Below it, a language counts as not told; chance gives about a quarter for four languages.
 LEAST_SCORE = 0.3
@@ -30,10 +36,8 @@ def keeps_columns(stage):
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own = {"doc_id", "text", "lang", "source", "n_chars"}
-        aside = {c: f"_aside{i}" for i, c in enumerate(docs.columns) if c not in own}
-        out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
-        return out.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+        rows, back = aside(docs, "doc_id", "text", "lang", "source", "n_chars")
+        return stage(spark, rows, sf_dir).select(*back())
 
     return run_stage
 
@@ -41,6 +45,8 @@ def keeps_columns(stage):
 @keeps_columns
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs.where(remainder("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = lang_id.identify(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
 
