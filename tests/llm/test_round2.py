@@ -125,3 +125,10 @@ def test_sample_is_bounded(spark, monkeypatch):
     assert language.fit(docs.where("lang IS NULL")) is None
     one = language.identify(docs.limit(5), language.fit(docs.withColumn("lang", F.lit("en"))))
     assert {(r.lang_pred, r.score) for r in one.collect()} == {("en", 1.0)}
+
+
+def test_language_stage_without_languages(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "plain words", None, "a", 11), (2, "#### 12", None, "a", 7), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
