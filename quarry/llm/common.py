@@ -48,14 +48,15 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes settled tables of which all readers are done, and has Spark's cleaner look for shuffles that nothing refers to any more."""
+def discard(spark: SparkSession, *tables: DataFrame, sweep: bool = True) -> None:
+    """Deletes settled tables of which all readers are done, and, to ``sweep``, has Spark's cleaner look for shuffles that nothing refers to any more."""
     jvm = spark.sparkContext._jvm
     for t in (t for t in tables if t is not None):
         path = jvm.org.apache.hadoop.fs.Path(t._settled_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    if sweep:
+        gc.collect()
+        jvm.System.gc()
 
 
 def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., list[Column]]]:
