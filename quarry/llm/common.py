@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A word, everywhere here: a run of anything but ASCII white space. Understood alike by Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
+#: Bytes after which lean() gives memory back.
+LEAN = 4 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,13 +131,22 @@ def give_back() -> None:
 
 
 def lean(run):
-    """A function over batches that ends each task with give_back()."""
+    """A function over batches that calls give_back() at the end of each task by which its worker has passed on ``LEAN`` bytes since the last call."""
 
     def task(batches):
+        passed = memo("lean", lambda: [0])
+
+        def counted(them):
+            for batch in them:
+                passed[0] += batch.nbytes
+                yield batch
+
         try:
-            yield from run(batches)
+            yield from counted(run(counted(batches)))
         finally:
-            give_back()
+            if passed[0] >= LEAN:
+                passed[0] = 0
+                give_back()
 
     return task
 
