@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes after which lean() gives memory back.
-LEAN = 4 << 20
+LEAN = 256 << 10
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
