@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
-PARTS = ("mixing", "substrings", "bpe", "winnow", "chat", "neardup", "rules", "quality", "language", "tokenfile")
+PARTS = ("mixing", "substrings", "bpe", "winnow", "chat", "neardup", "rules", "quality", "language", "tokenfile", "alignment", "whitening", "maxscore")
 
 
 def _parts():

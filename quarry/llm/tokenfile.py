@@ -17,14 +17,14 @@ Segments belong to shards, ranges of document ids, each written by one task in a
 as one part file or more whose names ascend too; the start of a document in the whole file is
 the sum of ids of the shards, of the segments, and of the documents before it.
 
-Texts of characters on whose class all regular expression engines agree are cut into
-pre-tokens here and each distinct pre-token goes through the tokenizers library once for as
-long as a worker remembers it; any other text, and any that holds the content of an added
-token such as <|endoftext|>, goes through the library as a whole.
+Texts are cut into pre-tokens and each distinct pre-token goes through the tokenizers library
+once for as long as a worker remembers it. A stretch on whose characters regular expression
+engines may differ is one piece, and a text that holds the content of an added token such as
+<|endoftext|> goes through the library as a whole.
 
 Defined cases: a null text is empty and has only the end id; documents with equal ids follow
-by a hash of their text, those with a null id come last; repeated rows are separate documents;
-a very long text makes one large segment, as segments hold whole documents; an empty table
+by a hash of their text, those with a null id come last; repeated rows are separate documents,
+dealt to shards by their place in the input partitions; a very long text makes one large segment, as segments hold whole documents; an empty table
 makes an empty file; other columns are ignored.
 """
 
@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, lean, memo, parts_for, scratch, whole
-from quarry.llm.pretokens import Cutter
+from quarry.llm.pretokens import Cutter, is_unsure
 
 MAGIC, VERSION, BLOCK, SHARE = 0x51504652, 1, 256, 0.9
-SEGMENT_IDS, SHARD_BYTES, REMEMBER = 1 << 18, 8 << 20, 600_000
+SEGMENT_IDS, SHARD_BYTES, REMEMBER, MEMORABLE = 1 << 18, 8 << 20, 600_000, 256
 SEGMENT = "shard int, segment int, n_docs int, n_ids long, payload binary"
 
 
@@ -147,13 +147,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
-class _Words(dict):
-    """Remembers words' ids in two generations, so that it stays small and frequent words stay known."""
+class Words(dict):
+    """Remembers words' ids in two generations, so that it stays small and frequent words stay known; not those of more than ``MEMORABLE`` characters."""
 
     def __init__(self, make):
         self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > MEMORABLE:
+            return self.make(word)
         if len(self) >= REMEMBER:
             self.old = dict(self)
             self.clear()
@@ -162,37 +164,59 @@ class _Words(dict):
 
 
 class Encoder:
-    """Texts to ids, as the tokenizers library would by default: the content of an added token in a text is that token."""
+    """Texts to ids, as the tokenizers library would by default: the content of an added token in a text is that token, or with ``plain`` ordinary text."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        known = json.loads(spec)
+        self.library.encode_special_tokens = plain
+        self.known = known = json.loads(spec)
         pre, model = known.get("pre_tokenizer") or {}, known.get("model") or {}
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.by_word = plain and model.get("type") == "BPE" and not known.get("normalizer")
-        self.added = [t["content"] for t in known.get("added_tokens") or []]
-        self.cut, self.words, self.model = Cutter(), _Words(self.word), self.library.model
+        usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_word = usual and model.get("type") == "BPE" and not known.get("normalizer")
+        self.added = [t["content"] for t in known.get("added_tokens") or [] if not (plain and t.get("special"))]
+        self.cutter, self.words, self.model = Cutter(), Words(self.word), self.library.model
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
 
     def direct(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
+        if not self.by_word or is_unsure(word):
+            return self.direct(word)
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
+    def ranked(self):
+        """The same encoding by ranks, if the ids of the vocabulary ascend as its merges do, all bytes come first and texts are cut by the public pattern."""
+        import public_tokenizers
+        import tiktoken
+
+        model = self.known.get("model") or {}
+        vocabulary, merges = model.get("vocab") or {}, model.get("merges") or []
+        made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        usual = not model.get("ignore_merges") and not model.get("dropout") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+        if not self.by_word or not usual or self.added or made != list(range(256, 256 + len(made))) or {vocabulary.get(c, 256) for c in letters} != set(range(256)):
+            return None
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in vocabulary.items() if i < 256 + len(made)}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces that word() encodes; none if the text goes through the library as a whole."""
+        return self.cutter(text) if self.by_word and not any(a in text for a in self.added) else None
+
     def __call__(self, text: str) -> bytes:
-        pieces = self.cut(text) if self.by_word and not any(a in text for a in self.added) else [text]
-        return self.direct(text) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
+        pieces = self.cut(text)
+        return self.direct(text) if pieces is None else b"".join(map(self.words.__getitem__, pieces))
 
 
 def encode_segments(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
     """Segments of all documents. ``spec``: the tokenizer's JSON, which has a bounded size, as its vocabulary has."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     n = parts_for(rows, F.octet_length("text"), SHARD_BYTES)
-    order = [F.asc_nulls_last("doc_id"), "hash"]  # the hash splits a hot id, and ranges of it are cheap to sample
-    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    order = [F.asc_nulls_last("doc_id"), "hash", "nth"]  # the hash splits a hot id, the number equal rows, and ranges of them are cheap to sample
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "nth": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     shared, tail = docs.sparkSession.sparkContext.broadcast(spec), np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
