@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts are dealt to chunks of about ``CHUNK_BYTES``. Each chunk asks for its distinct pre-tokens,
-dealt by their hash to desks, at most ``DESKS``: all requests for a word meet at one desk,
-which encodes it once and answers every chunk. There the ids are put at the places at which
+dealt by their hash to desks: all requests for a word meet at one desk,
+which encodes it once and answers every chunk. Desks grow with the root of the number of chunks,
+so that neither the words of a desk nor the requests of a chunk become many. There the ids are put at the places at which
 the pre-tokens stand in each text. A word that every document holds is asked for once a
 chunk, not once a document; a chunk's requests to a desk travel as one compressed row; and
 the texts are shuffled once, since both uses of a chunk read the same exchange. (Giving every
@@ -11,17 +12,18 @@ are kept by the chunk instead.)
 
 Decoding joins ids to the table of token bytes, which has as many rows as the vocabulary.
 
-A text with characters on whose class regular expression engines may differ is a word of its
-own and goes through the library as a whole.
+A stretch on whose characters regular expression engines may differ is a word of its own.
 
-Defined cases: a null text is empty and has no ids; repeated rows are separate documents; a
-text longer than a chunk is a chunk of its own and must fit a task; an empty table gives an
-empty result; columns named ids or decoded are replaced, others kept.
+Defined cases: a null text is empty and has no ids; repeated rows are separate documents, dealt
+to chunks by their place in the input partitions; a text longer than a chunk makes its chunk so
+much larger, which must fit a task; an empty table gives an empty result; columns named ids or
+decoded are replaced, others kept.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from quarry.llm.common import documents, give_back, lean, memo, parts_for, whole
 from quarry.llm.pretokens import Cutter
 
-CHUNK_BYTES, PART_BYTES, DESKS = 16 << 20, 1 << 20, 1 << 14
+CHUNK_BYTES, PART_BYTES, DESKS = 16 << 20, 1 << 20, 4  # desks: so many times the root of the number of chunks
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
@@ -86,11 +88,10 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded") and (keep is None or f.name in keep)]
     names = ["_text" if f.name == "text" else f"c{i}" for i, f in enumerate(kept)]
     rows = docs.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names) if n != "_text"), F.col("text").alias("_text"))
-    seed = [n for f, n in zip(kept, names) if f.name == "doc_id"]
     chunks = parts_for(docs, F.octet_length(whole()), CHUNK_BYTES, 1 << 30)
-    desks = min(chunks, DESKS)
-    # repeated rows of different input partitions go to different chunks
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*seed, "_text", F.spark_partition_id()), F.lit(chunks)).cast("long")).repartition("chunk")
+    desks = min(chunks, math.ceil(DESKS * math.sqrt(chunks)))
+    # by the place of a row, so that equal rows go to different chunks
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("long")).repartition("chunk")
     shared = docs.sparkSession.sparkContext.broadcast(blob)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,15 +5,16 @@ conjunction of comparisons; a logistic regression with an absolute penalty (lass
 rules and leaves few. The rules become one Spark column expression, so that scoring is a
 projection within generated code.
 
-The model is fitted on the driver on at most ``SAMPLE`` labelled rows, the first by a hash of
-their ids among labels whose hash is in the first share of all hashes that holds about twice
-as many; statistics are taken of whole texts.
+The model is fitted on the driver on at most ``SAMPLE`` examples, an id with a label and the
+statistics of a text, each with the number of times that it occurs as its weight. They are the
+first by a hash of id and label among the different pairs of these whose hash is in the first share
+of all hashes that holds about twice as many; statistics are taken of whole texts.
 
 Defined cases: a null text is empty, and an empty text has all statistics 0 and is scored like
-any other; several labels of a document are separate examples, null labels are left out;
+any other; equal labels of a document and its repeated rows weigh as often as they occur,
+different labels are separate examples, null labels and ids are left out;
 with one label value only, every score is that value's smoothed share, and 0.5 with none;
-repeated rows are scored alike, and each is an example if its id is labelled; of equal hashes
-the smaller id and label come first; texts of any length are scored by shares of the whole;
+repeated rows are scored alike; of equal hashes the smaller id and label come first; texts of any length are scored by shares of the whole;
 an empty table gives an empty result; further columns of documents and labels are ignored.
 """
 
@@ -65,24 +66,26 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, above, cut)
 
 
-def grow(x: np.ndarray, y: np.ndarray) -> set[Rule]:
+def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> set[Rule]:
     """The paths of boosted trees with logistic loss."""
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+    order = np.argsort(x, axis=0, kind="stable")
+    cuts = []
+    for f, o in enumerate(order.T):  # quantiles of the weighted values
+        upto = np.cumsum(weight[o])
+        cuts.append(np.unique(x[o[np.searchsorted(upto, upto[-1] * np.linspace(0, 1, BINS + 1)[1:-1])], f]))
     binned = [np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)]  # bin > k means value > cut k
-    score, rules = np.full(len(y), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), set()
+    mean = float(y @ weight / weight.sum())
+    score, rules = np.full(len(y), math.log((mean + 1e-3) / (1 - mean + 1e-3))), set()
 
     def split(rows: np.ndarray, g: np.ndarray, h: np.ndarray, path: Rule, out: np.ndarray) -> None:
-        best = (1e-3, None, None)
-        if len(path) < DEPTH and len(rows) >= 20:
+        best, total = (1e-3, None, None), weight[rows].sum()
+        if len(path) < DEPTH and total >= 20:
             gs, hs = g[rows].sum(), h[rows].sum()
             for f, c in enumerate(cuts):
-                if not len(c):
-                    continue
                 b = binned[f][rows]
-                gl, hl = (np.cumsum(np.bincount(b, v[rows], len(c) + 1))[:-1] for v in (g, h))
-                n = np.cumsum(np.bincount(b, minlength=len(c) + 1))[:-1]
+                gl, hl, n = (np.cumsum(np.bincount(b, v[rows], len(c) + 1))[:-1] for v in (g, h, weight))
                 gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                gain[(n < 5) | (len(rows) - n < 5)] = -1
+                gain[(n < 5) | (total - n < 5)] = -1
                 k = int(gain.argmax())
                 if gain[k] > best[0]:
                     best = (gain[k], f, k)
@@ -99,7 +102,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> set[Rule]:
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         step = np.zeros(len(y))
-        split(np.arange(len(y)), p - y, p * (1 - p), (), step)
+        split(np.arange(len(y)), (p - y) * weight, p * (1 - p) * weight, (), step)
         score += step
     return rules
 
@@ -111,20 +114,20 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 500) -> tuple[float, np.ndarray]:
+def lasso(m: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray, steps: int = 500) -> tuple[float, np.ndarray]:
     """Logistic regression with an absolute penalty by accelerated proximal steps; the intercept is free."""
-    n = len(y)
-    full = np.hstack([np.ones((n, 1)), m])
+    n = weight.sum()
+    full = np.hstack([np.ones((len(y), 1)), m])
     v = np.ones(full.shape[1])
     for _ in range(20):  # the largest curvature
-        v = full.T @ (full @ v)
+        v = full.T @ (weight * (full @ v))
         top = np.linalg.norm(v)
         v /= top
     rate = 4 * n / top
     w = z = np.zeros(full.shape[1])
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ z, -30, 30)))
-        new = z - rate * (full.T @ (p - y)) / n
+        new = z - rate * (full.T @ (weight * (p - y))) / n
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - rate * penalty, 0)
         z, w = new + (k / (k + 3)) * (new - w), new
     return float(w[0]), w[1:]
@@ -133,16 +136,17 @@ def lasso(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 500) -> tup
 class Ensemble:
     """An intercept and weighted rules."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = PENALTY):
+    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, weight: np.ndarray | None = None):
+        weight = np.ones(len(y)) if weight is None else weight
         self.rules: list[tuple[Rule, float]] = []
-        ones = float(y.sum())
-        share = (ones + 0.5) / (len(y) + 1)
+        ones, total = float(y @ weight), float(weight.sum())
+        share = (ones + 0.5) / (total + 1)
         self.intercept = math.log(share / (1 - share))
-        if 0 < ones < len(y):
-            rules = sorted(grow(x, y))
+        if 0 < ones < total:
+            rules = sorted(grow(x, y, weight))
             if rules:
                 m = np.stack([holds(r, x) for r in rules], axis=1).astype(np.float64)
-                self.intercept, w = lasso(m, y, penalty)
+                self.intercept, w = lasso(m, y, penalty, weight)
                 self.rules = [(r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6]
 
     def column(self) -> Column:
@@ -159,13 +163,14 @@ class Ensemble:
 
 def fit(stats: DataFrame, labels: DataFrame) -> Ensemble:
     """``stats``: doc_id and STATISTICS; ``labels``: doc_id and quality."""
-    good = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("_y"))
+    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", F.col("quality").cast("double").alias("_y")).agg(F.count("*").alias("_n"))
+    good = settle(good.withColumn("_h", F.xxhash64("doc_id", "_y")))
     # the first of n hashes lie below a share of the range that n tells, so that tasks hand on few rows however many have labels
-    share = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
     n = good.count()
-    rows = stats.join(good.where(share * n <= 2 * SAMPLE), "doc_id").select(F.xxhash64("doc_id").alias("_h"), "doc_id", "_y", *STATISTICS)
-    got = rows.orderBy("_h", "doc_id", "_y", *STATISTICS).limit(SAMPLE).toPandas()
-    return Ensemble(got[STATISTICS].to_numpy(float), got["_y"].to_numpy(float))
+    good = good.where((F.col("_h").cast("double") / F.lit(2.0**64) + 0.5) * n <= 2 * SAMPLE)
+    examples = stats.join(good, "doc_id").groupBy("_h", "doc_id", "_y", *STATISTICS).agg(F.sum("_n").alias("_n"))
+    got = examples.orderBy("_h", "doc_id", "_y", *STATISTICS).limit(SAMPLE).toPandas()
+    return Ensemble(got[STATISTICS].to_numpy(float), got["_y"].to_numpy(float), weight=got["_n"].to_numpy(float))
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing.
 
-A text's words (each character of a script written without spaces; others cut every ``PIECE``
-characters) are hashed, every run of ``K``
-gets a hash, and of every window of ``W`` such hashes the smallest is kept, the rightmost of
-equal ones, with its place. So two texts that share K + W - 1 words in a row share a
+A text's words are hashed, and each character of a script written without spaces and of a run
+of more than ``LONGEST`` characters is a word. Every run of ``K`` words gets a rolling hash, the
+cyclic polynomial of its words' hashes: each is turned by a bit more than the next, and all are
+added bit by bit. (Its value is what rolling from the run before would give; built-in functions
+carry nothing along an array, so its K terms are taken directly.) Of every window of ``W`` such
+hashes the smallest is kept, the rightmost of equal ones, with its place. So two texts that share K + W - 1 words in a row share a
 fingerprint, and its places say where. Everything is done by array functions in a row.
 
 A hash of 36 bits and the place counted down in 27 bits make one long, so that the smallest
@@ -13,7 +15,7 @@ similarity of the sets of hashes.
 neighbours() puts each text beside that of the next id without a global sort: rows are dealt
 to ranges of ids, and each range also gets the first row of the range that follows.
 
-Defined cases: a null text is empty and has an empty fingerprint; of two empty fingerprints
+Defined cases: texts of up to 2^27 words, a place's bits, are fingerprinted, and longer ones fail; a null text is empty and has an empty fingerprint; of two empty fingerprints
 the likeness is 1, of an empty and another 0; texts of fewer than K words have one hash of
 all of them; rows with equal ids follow by text; rows with a null id come last; the row
 after the last is the first; an empty table gives an empty result; other columns are ignored.
@@ -21,13 +23,15 @@ after the last is the first; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, order_bounds, order_bucket, parts_for, whole
 from quarry.llm.rules import bind
 
-K, W, PIECE = 5, 8, 16
+K, W, LONGEST = 5, 8, 16
 #: Scripts written without spaces, of which each character is a word: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their punctuation.
 UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{19E0}-\x{19FF}\x{2E80}-\x{312F}\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}"
 PLACES = 27
@@ -36,11 +40,14 @@ RANGE_BYTES = 4 << 20
 
 def marks(text: Column, k: int = K, w: int = W) -> Column:
     """The kept (hash, place) pairs as longs, in the order of places."""
-    last = F.lit((1 << PLACES) - 1)
-    words = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,{PIECE}}}"), F.lit(0))
+    last, run = F.lit((1 << PLACES) - 1), rf"[^\x20\x09-\x0D{UNSPACED}]"
+    words = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]|(?<!{run}){run}{{1,{LONGEST}}}+(?!{run})|{run}"), F.lit(0))
+    turned = lambda h, n: F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n)) if n else h
+    terms = lambda h, i: (turned(F.coalesce(F.get(h, i + j), F.lit(0)), k - 1 - j) for j in range(k))
+    rolling = lambda h, i: reduce(lambda a, b: a.bitwiseXOR(b), terms(h, i))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
-    gram = lambda h, i: F.shiftrightunsigned(F.xxhash64(*(F.get(h, i + j) for j in range(k))), 64 - 63 + PLACES)
-    packed = lambda h: F.transform(upto(F.size(h) - k), lambda i: F.shiftleft(gram(h, i), PLACES).bitwiseOR(last - i))
+    gram = lambda h, i: F.shiftrightunsigned(rolling(h, i), 64 - 63 + PLACES)
+    packed = lambda h: F.transform(upto(F.size(h) - k), lambda i: F.shiftleft(gram(h, i), PLACES).bitwiseOR(F.when(i <= last, last - i).otherwise(F.raise_error(F.lit("too long a text")))))
     least = lambda g: F.array_distinct(F.transform(upto(F.size(g) - w), lambda i: F.array_min(F.slice(g, i + 1, w))))
     of = lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(
         bind(F.transform(ws, lambda x: F.xxhash64(x)), lambda h: bind(packed(h), least))

@@ -165,16 +165,20 @@ def test_bpe_odd_texts(spark):
 
 
 def test_fingerprints(spark, docs):
-    def hashed(*values):
-        seed = 42
-        for v in values:
-            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little"), seed)
-        return seed
+    def turned(x, n):
+        n %= 64
+        return (x << n | x >> (64 - n)) & (2**64 - 1)
 
     def marks(text):
-        words = [w[i : i + 16] for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text) for i in range(0, len(w), 16)]
-        h = [hashed(w.encode()) for w in words]
-        g = [hashed(*h[i : i + 5]) >> 28 for i in range(max(1, len(h) - 4))] if h else []
+        runs = __import__("re").findall(r"[^\x20\x09-\x0D]+", text)
+        words = [w for r in runs for w in ([r] if len(r) <= 16 else r)]
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        h += [0] * max(0, 5 - len(h)) if h else []
+        g, rolled = [], 0
+        for i, x in enumerate(h):  # the hash rolls: the word that leaves is taken out, the rest turned, the next put in
+            rolled = turned(rolled ^ (turned(h[i - 5], 4) if i >= 5 else 0), 1) ^ x
+            if i >= 4:
+                g.append(rolled >> 28)
         kept = []
         for i in range(max(1, len(g) - 7) if g else 0):
             place = min(range(i, min(i + 8, len(g))), key=lambda j: (g[j], -j))
