@@ -1,18 +1,19 @@
 """Exact top-k by inner product, with MaxScore.
 
-Components become integers. A term is a dimension and a sign; its posting list holds the
-vectors whose component has that sign, with its size. A query's component adds its size times
-the posting's to the score of vectors of the same sign, and takes that away from those of the other.
+Components become integers. A term is a dimension; its posting list is the column of the
+vectors' components, nought where a vector lacks the term.
 
 Vectors are dealt to shards and queries to blocks, and each shard meets each block in one task
-at a time, which builds the shard's postings and the largest size in each. For each query the
-terms that add are put in order of their bounds, size times largest size. A first threshold comes from
-the largest entries of its strongest terms, scored in full. Terms whose bounds together
-don't reach the threshold are non-essential: no vector can compete that stands in their
-postings only. The essential postings are traversed; vectors whose score and the bounds of the
-rest reach the threshold are probed in the non-essential terms, the strongest first, then in the
-terms that take away, and leave as soon as they can't reach it. The shards' best are merged, by Spark's
-own limit within each task before the shuffle.
+at a time, which builds the shard's columns with the largest and smallest component of each. A query's
+bound for a term is its component times whichever of these gives more, nought at least. A first
+threshold comes from the extreme entries of its strongest terms, scored in full. Terms are put
+in order of their bounds; the weakest, as long as their bounds together stay below ``SHARE`` of the threshold,
+are non-essential: no vector can compete by these alone. The essential postings are traversed,
+for some queries at once by a matrix product. Vectors whose score so far and the bounds of
+the rest reach the threshold are probed in the non-essential terms, the strongest first, and
+leave as soon as they can't reach it. The shards' best are merged, by Spark's own limit within
+each task before the shuffle. (Where all vectors have all terms, as embeddings do, a larger share of
+the threshold would traverse fewer postings and probe many more vectors.)
 
 So a task holds a shard and a block, whose sizes are bounded, and each moves once for each of
 the others' parts.
@@ -41,7 +42,8 @@ from quarry.llm.whitening import finite
 SCALE, K = 256, 5
 SHARD_ROWS, BLOCK_ROWS, SHARDS = 1 << 16, 1 << 13, 16  # no more rows a shard or block; at least so many shards, as far as LEAST_ROWS permits
 LEAST_ROWS = 1 << 12
-SEEDS, PROBED = 3, 4  # terms that give the first threshold; terms probed at once
+SEEDS, PROBED, AT_ONCE = 3, 4, 64  # terms that give the first threshold; terms probed, and queries that traverse, at once
+SHARE = 0.25
 EXACT, LARGEST = 1 << 53, (1 << 63) - 1  # below it, sums of integers are exact in doubles; the end of longs
 
 
@@ -63,68 +65,64 @@ def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 class Shard:
-    """Postings: for each dimension and sign the places of the vectors, the sizes of their components and the largest of these."""
+    """Columns of components, with their extremes and the places of these."""
 
     def __init__(self, rows: np.ndarray, ids: list[int | None], x: np.ndarray, k: int):
         self.rows, self.x, self.k = rows, x, k
         self.order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0)), np.int64)
         self.rank = np.empty(len(ids), np.int64)
         self.rank[self.order] = np.arange(len(ids))
-        self.postings, self.strongest = {}, {}
-        for d in range(x.shape[1]):
-            for sign in (1, -1):
-                at = np.flatnonzero(x[:, d] * sign > 0)
-                sizes = x[at, d] * sign
-                best = at[np.argsort(-sizes, kind="stable")[: k + 1]]
-                self.postings[d, sign] = at, sizes, sizes.max() if len(at) else 0
-                self.strongest[d, sign] = best
-
-    def search(self, q: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """(place, score) of the k best for a query, whose own row is left out."""
-        adds, takes = [], []
-        for d in np.flatnonzero(q != 0).tolist():
-            sign = 1 if q[d] > 0 else -1
-            for list_, s in ((adds, sign), (takes, -sign)):
-                if self.postings[d, s][2] > 0:
-                    list_.append((abs(q[d]) * self.postings[d, s][2], d, s))
-        adds.sort()
-        least = None
-        seeds = np.unique(np.concatenate([self.strongest[d, s] for _, d, s in adds[-SEEDS:]])) if adds else np.empty(0, np.int64)
+        self.high, self.low = x.max(axis=0, initial=0), x.min(axis=0, initial=0)
+        by = np.argsort(x, axis=0, kind="stable")
+        self.last, self.first = by[::-1][: k + 1], by[: k + 1]
+
+    def threshold(self, q: np.ndarray, seeds: np.ndarray, own: int):
+        """What the k-th of some vectors scores, which is no more than the k-th of all. None if they are too few, or any score will do."""
         seeds = seeds[self.rows[seeds] != own]
-        if len(seeds) >= self.k:
-            least = min(np.sort(self.x[seeds] @ q)[-self.k], LARGEST)
-            least = None if least <= -LARGEST else least
-        split, rest = 0, 0
-        while least is not None and split < len(adds) and rest + adds[split][0] < least:
-            rest += adds[split][0]
-            split += 1
-        score = np.zeros(len(self.rows), self.x.dtype)
-        for _, d, s in adds[split:]:
-            at, sizes, _ = self.postings[d, s]
-            score[at] += abs(q[d]) * sizes
-        at = np.arange(len(score)) if least is None else np.flatnonzero(score + rest >= least)
-        at = at[self.rows[at] != own]
+        if len(seeds) < self.k:
+            return None
+        least = min(np.sort(self.x[seeds] @ q)[-self.k], LARGEST)
+        return None if least <= -LARGEST else least
+
+    def search(self, queries: np.ndarray, own: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """(place, score) of the k best for each query, whose own row is left out."""
+        for i in range(0, len(queries), AT_ONCE):
+            some = queries[i : i + AT_ONCE]
+            bounds = np.maximum(np.where(some > 0, some * self.high, some * self.low), 0)
+            order = np.argsort(bounds, axis=1, kind="stable")
+            upto = np.cumsum(np.take_along_axis(bounds, order, axis=1), axis=1)
+            strong = [np.unique(np.where(q[o] > 0, self.last[:, o], self.first[:, o])) for q, o in zip(some, order[:, -SEEDS:])]
+            least = [self.threshold(q, s, r) for q, s, r in zip(some, strong, own[i : i + AT_ONCE])]
+            split = [0 if t is None else int((u < SHARE * t).sum()) for u, t in zip(upto, least)]
+            essential = some.copy()
+            for e, o, n in zip(essential, order, split):
+                e[o[:n]] = 0
+            for q, r, o, u, n, t, score in zip(some, own[i : i + AT_ONCE], order, upto, split, least, essential @ self.x.T):
+                yield self.best(q, r, o[:n], u, t, score)
+
+    def best(self, q: np.ndarray, own: int, others: np.ndarray, upto: np.ndarray, least, score: np.ndarray) -> list[tuple[int, int]]:
+        """Of vectors with their score in the essential terms; ``others``: the rest, the weakest first, whose bounds add up as in ``upto``."""
+        left = len(others)
+        if least is not None:  # what leads so far gives a better threshold
+            n = min(self.k + 1, len(score))
+            leading = self.threshold(q, np.argpartition(score, -n)[-n:], own)
+            least = least if leading is None else max(least, leading)
+        at = np.arange(len(score)) if least is None else np.flatnonzero(score + (upto[left - 1] if left else 0) >= least)
         score = score[at]
-        takes.sort(reverse=True)
-        for terms, adding in ((adds[:split][::-1], True), (takes, False)):
-            for i in range(0, len(terms), PROBED):
-                some = [d for _, d, _ in terms[i : i + PROBED]]
-                part = self.x[at[:, None], some] * q[some]
-                score = score + (np.maximum(part, 0) if adding else np.minimum(part, 0)).sum(axis=1)
-                if adding:
-                    rest -= sum(u for u, _, _ in terms[i : i + PROBED])
-                if least is not None:
-                    stay = score + rest >= least
-                    at, score = at[stay], score[stay]
-        score = np.clip(score, -LARGEST - 1, LARGEST)
-        first = sorted(zip(np.negative(score).tolist(), self.rank[at].tolist()))[: self.k] if len(at) <= 64 else self._first(at, score)
+        while left:
+            left, terms = max(0, left - PROBED), others[max(0, left - PROBED) : left]
+            score = score + self.x[at[:, None], terms] @ q[terms]
+            if least is not None:
+                stay = score + (upto[left - 1] if left else 0) >= least
+                at, score = at[stay], score[stay]
+        mine = self.rows[at] != own
+        at, score = at[mine], np.clip(score[mine], -LARGEST - 1, LARGEST)
+        if len(at) > self.k:
+            stay = score >= np.sort(score)[-self.k]
+            at, score = at[stay], score[stay]
+        first = sorted(zip(np.negative(score).tolist(), self.rank[at].tolist()))[: self.k]
         return [(int(self.order[r]), -int(s)) for s, r in first]
 
-    def _first(self, at: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
-        least = np.sort(score)[-min(self.k, len(score))]
-        stay = score >= least
-        return sorted(zip(np.negative(score[stay]).tolist(), self.rank[at[stay]].tolist()))[: self.k]
-
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for each of ``queries``, both (row, vec_id, x), whose rows are numbered in common."""
@@ -146,9 +144,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             kind = np.float64 if sum(a * b for a, b in zip(*most)) < EXACT else object
             ids = docs.column("vec_id").to_pylist()
             shard = Shard(docs.column("row").to_numpy(), ids, x.astype(kind), k)
-            for v, own, name in zip(q.astype(kind), asked.column("row").to_pylist(), asked.column("vec_id").to_pylist()):
-                for at, score in shard.search(v, own):
-                    for c, value in zip(out, (own, name, ids[at], int(shard.rows[at]), score)):
+            own = asked.column("row").to_numpy()
+            for found, mine, name in zip(shard.search(q.astype(kind), own), own.tolist(), asked.column("vec_id").to_pylist()):
+                for at, score in found:
+                    for c, value in zip(out, (mine, name, ids[at], int(shard.rows[at]), score)):
                         c.append(value)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], ["query", "query_id", "vec_id", "row", "score"])
 
