@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_against_brute_force import library
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, pretokens, quality, tokenfile, winnow
+from quarry.llm import bpe, neardup, pretokens, quality, tokenfile, winnow
 
 
 def test_unsure_characters_are_few():
@@ -114,3 +114,54 @@ def test_trees_find_a_known_rule():
     assert any(abs(c - {1: 0.5, 2: 0.25}[f]) < 0.05 for r in both for f, _, c in r)
     assert max(((quality.holds(r, x) == (y == 1)).mean() for r in both)) > 0.95
     assert quality.grow(x[:, :1], np.ones(2000), np.ones(2000)) == set()
+
+
+def edited(rng, words, k):
+    out = list(words)
+    for i in rng.sample(range(len(out)), k):
+        out[i] = f"v{rng.randrange(10**9)}"
+    return out
+
+
+def test_recall_of_near_copies(spark):
+    """Copies with words replaced all over, of similarity 0.80 to 0.91, in texts of 60, 120 and 400 words; and twins among 60 versions of one text."""
+    rng = random.Random(17)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    cases = [(60, 6), (60, 4), (60, 3), (120, 13), (120, 10), (120, 6), (400, 44), (400, 30), (400, 20)]
+    rows, pairs, twins, base = [], [], [], text(400)
+    for case in cases:
+        for _ in range(100):
+            one = text(case[0])
+            pairs.append((case, len(rows)))
+            rows += [one, edited(rng, one, case[1])]
+    for _ in range(60):
+        one = edited(rng, base, rng.randrange(28, 40))
+        twins.append(len(rows))
+        rows += [one, edited(rng, one, 30)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id int, text string")).collect()}
+    for case in cases:
+        caught = [got[i] == got[i + 1] for c, i in pairs if c == case]
+        assert np.mean(caught) >= 0.9, (case, np.mean(caught))
+    assert np.mean([got[i] == got[i + 1] for i in twins]) >= 0.9
+    assert len({got[i] for _, i in pairs}) == len(pairs)  # and nothing else meets
+
+
+def test_duplicates_with_clashing_names(spark):
+    names = "_id _tx _tx0 _id0 node root band key hub n class_id keeper keep sketch minima `a.b` _aside0".split()
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "else"), (3, "else"), (None, "")], "doc_id long, text string")
+    wide = docs.select(*(F.lit(i).alias(n.strip("`")) for i, n in enumerate(names)), "*")
+    out = neardup.drop_duplicates(wide)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "3", "None"]
+    assert all(r[n.strip("`")] == i for r in rows for i, n in enumerate(names))
+
+
+def test_other_operators_with_clashing_names(spark):
+    names = "chunk desk _text c0 c1 bucket ghost next marks own other words `a.b`".split()
+    docs = spark.createDataFrame([(i, f"word {i} " * 20) for i in range(5)], "doc_id long, text string")
+    wide = docs.select("*", *(F.lit(i).alias(n.strip("`")) for i, n in enumerate(names)))
+    out = bpe.encode(wide, bpe.ranks_file())
+    assert all(r[n.strip("`")] == i for r in out.collect() for i, n in enumerate(names)) and out.columns == [*wide.columns, "ids", "decoded"]
+    near = winnow.neighbours(wide, {"marks": winnow.marks(F.col("text"))}, ["text", "marks"]).collect()
+    assert {(r.doc_id, r.next.text) for r in near} == {(i, f"word {(i + 1) % 5} " * 20) for i in range(5)}
