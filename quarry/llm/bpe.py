@@ -179,9 +179,10 @@ def ranks_file(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
         return f.read()
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns ``keep``, and digests of what encode() gives."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
