@@ -7,20 +7,25 @@ predecessor kept; all but the last return the columns of documents.
   teaches a language, only those without a letter
 - near_duplicates: keeps one document of each class of near copies
 - repeated_strings: cuts every string of 200 bytes that stands elsewhere too
-- mixture: repeats and drops documents to meet the sources' targets; its table is written in
-  training order, part file by part file (it has the columns of documents, so no position)
-- tokens: ids and decoded bytes of each document, as digests, in no order
-
-Defined cases: null texts and texts without a letter go in the first stage; a null id, language
+- mixture: repeats and drops documents to meet the sources' targets; its table is in training
+  order, part file by part file and row by row (it has the columns of documents, so no position)
+- tokens: the place of each document in that order, read back from the files, and its ids and
+  decoded bytes as digests; sorted by place, in ranges
+
+Defined cases: a table that isn't read from files has the order of its partitions; texts of any
+length are taken whole, in the memory that the operators' docstrings state; documents of equal
+places in the mixture go by id; null texts and texts without a letter go in the first stage; a null id, language
 or source stays; of equal rows one stays; a text that is cut to nothing stays as an empty one;
 further columns of any names keep their values; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, substrings
@@ -67,8 +72,31 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id and text with _file and _row, where each row stands; and what makes of these the place in the whole table, from 0, of any rows that carry them."""
+    try:
+        where = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", "text", where["file_path"].alias("_file"), where["row_index"].alias("_row"))
+        ends = docs.select(where["file_path"].alias("_f"))
+    except AnalysisException:  # no files
+        at = F.monotonically_increasing_id()
+        rows = docs.select("doc_id", "text", F.shiftright(at, 33).alias("_file"), at.bitwiseAND((1 << 33) - 1).alias("_row"))
+        ends = docs.select(F.shiftright(at, 33).alias("_f"))
+    ends = ends.groupBy("_f").count()  # a row a file
+    before = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_f")) - F.col("count")
+
+    def place(made: DataFrame) -> DataFrame:
+        files = ends.select("_f", before.alias("_before"))
+        made = made.join(files, F.col("_file") == F.col("_f"))
+        return made.withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_f", "_before")
+
+    return rows, place
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.ranks_file(), ["doc_id"]))
+    rows, place = placed(docs)
+    out = bpe.digests(bpe.encode(rows, bpe.ranks_file(), ["doc_id", "_file", "_row"]), "_file", "_row")
+    return place(out).orderBy("position")
 
 
 STAGES = [(f.__name__, f) for f in (language, near_duplicates, repeated_strings, mixture, tokens)]

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -30,3 +33,21 @@ def test_entry_imports():
 
     assert set(ORACLES) <= set(e.oracle_sql())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("lost", ["zstandard", "tiktoken", "quarry.llm"])
+def test_entry_without_a_library(lost):
+    """What can't be imported costs the training-data queries only, and says so."""
+    code = f"""
+import sys, warnings
+sys.modules[{lost!r}] = None
+warnings.simplefilter("always")
+import __spark_entry__ as e
+from quarry.plans import QUERIES
+assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+print(len(e.queries()))
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert ran.returncode == 0, ran.stderr
+    assert int(ran.stdout) == len(QUERIES) or lost == "tiktoken"  # which is imported by tasks only
+    assert "NOT registered" in ran.stderr or lost == "tiktoken"
