@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, everywhere here: a run of anything but ASCII white space. Understood alike by Java, RE2 and Python.
@@ -81,34 +81,35 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
 
 
-def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts`` - 1 ascending cut points of an integer key, at about even quantiles.
+def order_bounds(keys: DataFrame, parts: int) -> list[str]:
+    """At most ``parts`` - 1 ascending cut points of the rows' order, all columns one after the other, as JSON for order_bucket().
 
-    Quantiles of distinct keys sampled by hash, about 64 a part, in few tasks, so that no summary grows with the table.
+    They are the quantiles of about 64 rows a part, taken by a hash of all columns, so that no summary grows with the table; rows
+    that differ in the last column only can be cut apart.
     """
     if parts < 2:
         return []
-    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"))
-    n = keys.agg(F.approx_count_distinct("k")).first()[0]
-    share = F.xxhash64("k").cast("double") / F.lit(2.0**64) + 0.5
-    keys = keys.where(share * n <= 64 * parts).distinct()
-    at = [i / parts for i in range(1, parts)]
-    got = keys.coalesce(8).agg(F.percentile_approx("k", at, max(10_000, 10 * parts)).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    share = F.xxhash64(*keys.columns).cast("double") / F.lit(2.0**64) + 0.5
+    some = keys.where(share * keys.count() <= 64 * parts).select(F.struct(*keys.columns).alias("k"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")) - 1
+    of = F.count("*").over(Window.partitionBy(F.lit(0)))
+    nth = F.floor(rank * parts / of)
+    cut = some.select("k", nth.alias("at")).groupBy("at").agg(F.min("k").alias("k")).where("at > 0")
+    return [r["k"] for r in cut.select("at", F.to_json("k", {"ignoreNullFields": "false"}).alias("k")).orderBy("at").collect()]
 
 
-def order_bucket(key: str, bounds: list[int]) -> Column:
-    """Index of the range that holds the key: two small searches, so that thousands of cut points stay cheap. Null keys come last."""
+def order_bucket(key: Column, kind: str, bounds: list[str]) -> Column:
+    """Index of the range that holds the key, a struct of type ``kind``: two small searches, so that thousands of cut points stay cheap."""
     if not bounds:
-        return F.when(F.col(key).isNull(), 1).otherwise(0)
+        return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    below = lambda a: F.size(F.filter(a, lambda b: b <= F.col(key)))
-    first = F.array(*(F.lit(r[0]).cast("long") for r in rows))
-    table = F.array(*(F.array(*(F.lit(b).cast("long") for b in r)) for r in rows))
+    text = lambda a: "[" + ",".join(a) + "]"
+    first = F.from_json(F.lit(text([r[0] for r in rows])), f"array<{kind}>")
+    table = F.from_json(F.lit(text([text(r) for r in rows])), f"array<array<{kind}>>")
+    below = lambda a: F.size(F.filter(a, lambda b: b <= key))
     row = below(first)
-    bucket = F.when(row == 0, 0).otherwise((row - 1) * step + below(F.get(table, F.greatest(row - 1, F.lit(0)))))
-    return F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(bucket)
+    return F.when(row == 0, 0).otherwise((row - 1) * step + below(F.get(table, F.greatest(row - 1, F.lit(0)))))
 
 
 def parts_for(df: DataFrame, size: Column, each: int, most: int = 65536) -> int:

@@ -13,12 +13,13 @@ of a window is at the rightmost place among equal hashes. Likeness is the Jaccar
 similarity of the sets of hashes.
 
 neighbours() puts each text beside that of the next id without a global sort: rows are dealt
-to ranges of ids, and each range also gets the first row of the range that follows.
+to ranges of the order of id, hash of the text and a hash of the row's place in the input, so
+that no id and no text is too frequent for one, and each range also gets the first row of the range that follows.
 
 Defined cases: texts of up to 2^27 words, a place's bits, are fingerprinted, and longer ones fail; a null text is empty and has an empty fingerprint; of two empty fingerprints
 the likeness is 1, of an empty and another 0; texts of fewer than K words have one hash of
-all of them; rows with equal ids follow by text; rows with a null id come last; the row
-after the last is the first; an empty table gives an empty result; other columns are ignored.
+all of them; rows with equal ids follow by the hash of their
+text, equal rows in any order; rows with a null id come last; the row after the last is the first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,20 +74,22 @@ def likeness(a: Column, b: Column) -> Column:
 
 def neighbours(docs: DataFrame, columns, carry) -> DataFrame:
     """(doc_id, text, columns, next): ``columns`` are computed once a row, and ``next`` holds the columns ``carry`` of the next row."""
-    rows = docs.select("doc_id", whole().alias("text"))
-    bounds = order_bounds(rows, "doc_id", parts_for(rows, F.octet_length("text"), RANGE_BYTES))
-    rows = rows.withColumn("bucket", order_bucket("doc_id", bounds)).withColumn("ghost", F.lit(0))
-    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("_id"))
+    own = {"_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text"), "_salt": F.xxhash64(F.monotonically_increasing_id())}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).withColumns(own)
+    order = ["_null", "doc_id", "_hash", "_salt"]
+    bounds = order_bounds(rows.select(*order), parts_for(rows, F.octet_length("text"), RANGE_BYTES))
+    key = F.struct(*order)
+    rows = rows.withColumn("bucket", order_bucket(key, "struct<_null: boolean, doc_id: bigint, _hash: bigint, _salt: bigint>", bounds)).withColumn("ghost", F.lit(0))
+    heads = rows.groupBy("bucket").agg(F.min(key).alias("_head"))
     by = Window.partitionBy(F.lit(0)).orderBy("bucket")
     ahead = F.coalesce(F.lag("bucket").over(by), F.max("bucket").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select(F.col("bucket").alias("_b"), "_id", ahead.alias("_ahead"))  # at most as many rows as there are ranges
-    first = rows.join(F.broadcast(heads), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    first = first.groupBy("_ahead", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("_ahead").alias("bucket"), F.lit(1).alias("ghost"))
-    order = ["ghost", F.asc_nulls_last("doc_id"), "text"]
-    dealt = rows.unionByName(first).repartition("bucket").sortWithinPartitions("bucket", *order)
+    heads = heads.select(F.col("bucket").alias("_b"), "_head", ahead.alias("_ahead"))  # at most as many rows as there are ranges
+    first = rows.join(F.broadcast(heads), (F.col("bucket") == F.col("_b")) & (key == F.col("_head")))
+    first = first.select(*order, "text", F.col("_ahead").alias("bucket"), F.lit(1).alias("ghost"))
+    dealt = rows.unionByName(first).repartition("bucket").sortWithinPartitions("bucket", "ghost", *order)
     made = dealt.withColumns(columns)
-    after = F.lead(F.struct(*carry)).over(Window.partitionBy("bucket").orderBy(*order))
-    return made.withColumn("next", after).where("ghost = 0").drop("ghost", "bucket")
+    after = F.lead(F.struct(*carry)).over(Window.partitionBy("bucket").orderBy("ghost", *order))
+    return made.withColumn("next", after).where("ghost = 0").select("doc_id", "text", *columns, "next")
 
 
 def op4_winnow(spark: SparkSession, folder: str) -> DataFrame:

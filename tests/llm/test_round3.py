@@ -165,3 +165,29 @@ def test_other_operators_with_clashing_names(spark):
     assert all(r[n.strip("`")] == i for r in out.collect() for i, n in enumerate(names)) and out.columns == [*wide.columns, "ids", "decoded"]
     near = winnow.neighbours(wide, {"marks": winnow.marks(F.col("text"))}, ["text", "marks"]).collect()
     assert {(r.doc_id, r.next.text) for r in near} == {(i, f"word {(i + 1) % 5} " * 20) for i in range(5)}
+
+
+def test_ranges_split_an_id_and_a_text(spark, monkeypatch):
+    """Rows of one id, rows without one and equal rows are dealt to many ranges, and each row still has the one that follows."""
+    monkeypatch.setattr(winnow, "RANGE_BYTES", 2000)
+    rows = [(7, f"some text number {i}") for i in range(900)] + [(9, "equal words in all of them")] * 900 + [(None, f"text without id {i % 300}") for i in range(900)] + [(i, f"own {i}") for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    kind, seen = type(df), []
+    plain = kind.repartition
+
+    def spied(self, *a):
+        if a == ("bucket",):
+            seen.append(self.where("ghost = 0").groupBy("bucket").count().collect())
+        return plain(self, *a)
+
+    monkeypatch.setattr(kind, "repartition", spied)
+    got = winnow.neighbours(df, {"n": F.length("text")}, ["text"]).collect()
+    assert len(seen[0]) > 20 and max(r["count"] for r in seen[0]) < 400
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows)
+    follow = sorted((str(r.doc_id), r.text, r.next.text) for r in got)
+    of = {t: str(i) for i, t in rows}
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    assert follow == sorted((of[t], t, n) for (_, t), (_, n) in zip(order, [*order[1:], order[0]]))
+    assert winnow.neighbours(df.where("doc_id = 21"), {"n": F.length("text")}, ["text"]).first().next.text == "own 21"
+    assert winnow.neighbours(df.limit(0), {"n": F.length("text")}, ["text"]).collect() == []
