@@ -2,14 +2,17 @@
 
 import random
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_against_brute_force import library
+from test_cases import DOCS, rows
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, neardup, pretokens, quality, tokenfile, winnow
+from quarry.llm import bpe, chat, mixing, neardup, pretokens, quality, tokenfile, winnow
+from quarry.llm import rules as quality_rules
 
 
 def test_unsure_characters_are_few():
@@ -191,3 +194,19 @@ def test_ranges_split_an_id_and_a_text(spark, monkeypatch):
     assert follow == sorted((of[t], t, n) for (_, t), (_, n) in zip(order, [*order[1:], order[0]]))
     assert winnow.neighbours(df.where("doc_id = 21"), {"n": F.length("text")}, ["text"]).first().next.text == "own 21"
     assert winnow.neighbours(df.limit(0), {"n": F.length("text")}, ["text"]).collect() == []
+
+
+@pytest.mark.parametrize("part,name", [(mixing, "op1_mix"), (chat, "op5_chat"), (quality_rules, "op7_rules")])
+def test_sql_on_awkward_rows(spark, tmp_path, part, name):
+    """Values of the awkward tables, by the registered SQL."""
+    some = [r for r in rows() if part is not quality_rules or len(r[1] or "") < 10_000]  # the SQL compares windows in quadratic time
+    spark.createDataFrame(some, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(3, None, None), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", None), (2, 2, "user", "<|im_end|>"), (3, 0, None, "a"), (3, 0, None, "a"), (None, None, None, None), (4, 0, "user", "hi")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = part.QUERIES[name](spark, str(tmp_path)), con.sql(part.ORACLES[name])
+    cols = sorted(got.columns)
+    assert sorted(str(tuple(r)) for r in got.select(cols).collect()) == sorted(map(str, want.select(*cols).fetchall()))
