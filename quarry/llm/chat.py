@@ -6,13 +6,15 @@ hash is the hash of a shorter prefix of some other one is a snapshot of that, an
 join drops it. Equal conversations form one class, of which the smallest id stays. What
 stays is rendered in parts of at most ``PART`` turns.
 
-The rolling hash is a sum over turns of two 64-bit hashes of (position, role, text). Counts
-and sums of blocks of ``PART`` turn numbers are added up first, so that a conversation of any
+The rolling hash is a sum over turns of two 64-bit hashes of (position, role, text). Rows are
+dealt to ranges of the order of conversations and turns, with a hash of a row's place in the input
+as the last key, so that no conversation, turn number or repeated row is too frequent for one. Counts
+and sums of each range are added up first, so that a conversation of any
 length is spread over tasks; how turns are numbered doesn't enter the hash. Both joins are between distinct
 keys, so that a very common first turn or conversation is one row on each side.
 
-Defined cases: turns are ordered by turn (null last), role, text, and repeated rows stay
-separate turns; a null role is ``unknown`` and a null text empty; rows with a null conv_id
+Defined cases: turns are ordered by turn (null last), role, the MD5 of the text, and repeated rows stay
+separate turns; a text of any length is one turn and must fit a row; a null role is ``unknown`` and a null text empty; rows with a null conv_id
 are one conversation; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PART = 1024
+from quarry.llm.common import order_bounds, order_bucket, parts_for
+
+PART, RANGE_BYTES = 1024, 4 << 20
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -32,10 +36,15 @@ def prefixes(turns: DataFrame) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / PART).cast("long"), F.lit(2**62)).alias("block"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
     )
-    w = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "role", "text")))
+    own = {"conv_null": F.col("conv_id").isNull(), "turn_null": F.col("turn").isNull(), "sum": F.md5("text")}
+    rows, key = rows.withColumns(own), ["conv_null", "conv_id", "turn_null", "turn", "role", "sum", "salt"]
+    bounds = order_bounds(rows.select(*key), parts_for(rows, F.octet_length("text") + F.octet_length("role") + 8, RANGE_BYTES))
+    rows = rows.withColumn("block", order_bucket(F.struct(*key), rows.select(F.struct(*key).alias("k")).schema["k"].dataType.simpleString(), bounds)).drop("conv_null")
+    order = ["turn_null", "turn", "role", "sum", "salt"]
+    w = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(*order)))
     upto, of = Window.partitionBy("conv_id").orderBy("block"), Window.partitionBy("conv_id")
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))
     counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
@@ -83,7 +92,7 @@ def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
 ORACLE_SQL = """
 WITH t AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), md5(coalesce(text, ''))) AS pos
   FROM conversations),
 p AS (
   SELECT *, list((role, text)) OVER (PARTITION BY conv_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY conv_id) AS n FROM t),

@@ -210,3 +210,20 @@ def test_sql_on_awkward_rows(spark, tmp_path, part, name):
     got, want = part.QUERIES[name](spark, str(tmp_path)), con.sql(part.ORACLES[name])
     cols = sorted(got.columns)
     assert sorted(str(tuple(r)) for r in got.select(cols).collect()) == sorted(map(str, want.select(*cols).fetchall()))
+
+
+def test_turns_without_numbers_spread(spark, monkeypatch):
+    """Turns of one number or none, and repeated ones, are dealt to many ranges; what is found is what the SQL finds."""
+    rows = [(1, None, "user", f"t{i}") for i in range(600)] + [(None, None, None, "again")] * 600 + [(3, 5, "user", f"u{i}") for i in range(600)]
+    rows += [(4, None, "user", f"t{i}") for i in range(600)] + [(5, 5, "user", f"u{i}") for i in range(600)] + [(5, 6, "user", "and more")]
+    rows += [(i, t, "user", f"t{t}") for i in range(10, 30) for t in range(i % 5 + 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    conversations, con = df.toArrow(), duckdb.connect()  # noqa: F841
+    want = con.sql(chat.ORACLE_SQL)
+    cols = sorted(want.columns)
+    want = sorted(map(str, want.select(*cols).fetchall()))
+    monkeypatch.setattr(chat, "RANGE_BYTES", 1000)
+    seen, plain = [], chat.order_bucket
+    monkeypatch.setattr(chat, "order_bucket", lambda *a: seen.append(a[2]) or plain(*a))
+    assert sorted(str(tuple(r)) for r in chat.render(df).select(cols).collect()) == want
+    assert len(seen[0]) > 20
