@@ -17,7 +17,8 @@ def _parts():
 
 
 def queries() -> dict:
-    return {k: f for p in _parts() for k, f in p.QUERIES.items()}
+    tidy = import_module(f"{__name__}.common").tidy
+    return {k: tidy(f) for p in _parts() for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,9 +44,44 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
+#: The paths that settle() has written, for each open workspace of a thread.
+_WORK = threading.local()
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[list[str]]:
+    """Gives the list of the paths that settle() writes within; if what is done within fails, all are deleted."""
+    held = _WORK.__dict__.setdefault("held", [])
+    held.append(made := [])
+    try:
+        yield made
+    except BaseException:
+        for path in made:
+            with suppress(Exception):
+                delete(spark, path)
+        raise
+    finally:
+        held.pop()
+        if held:
+            held[-1].extend(made)
+
+
+def tidy(query):
+    """A query that leaves no tables behind if it fails."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **kwargs):
+        with workspace(spark):
+            return query(spark, *args, **kwargs)
+
+    return run
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write and reread: cuts the lineage, is read by several consumers, and outlives any executor."""
     path = scratch(df.sparkSession)
+    for made in _WORK.__dict__.get("held", [])[-1:]:
+        made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
@@ -52,13 +90,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 def discard(spark: SparkSession, *tables: DataFrame, sweep: bool = True) -> None:
     """Deletes settled tables of which all readers are done, and, to ``sweep``, has Spark's cleaner look for shuffles that nothing refers to any more."""
-    jvm = spark.sparkContext._jvm
     for t in (t for t in tables if t is not None):
-        path = jvm.org.apache.hadoop.fs.Path(t._settled_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, t._settled_at)
     if sweep:
         gc.collect()
-        jvm.System.gc()
+        spark.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., list[Column]]]:

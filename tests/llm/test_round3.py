@@ -227,3 +227,27 @@ def test_turns_without_numbers_spread(spark, monkeypatch):
     monkeypatch.setattr(chat, "order_bucket", lambda *a: seen.append(a[2]) or plain(*a))
     assert sorted(str(tuple(r)) for r in chat.render(df).select(cols).collect()) == want
     assert len(seen[0]) > 20
+
+
+def test_scratch_goes_with_a_failure(spark, tmp_path, monkeypatch):
+    """A query that fails leaves no tables, and a run of the pipeline leaves the one that its result reads."""
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    top = Path((spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).removeprefix("file:"))
+    there = lambda: {p.name for p in top.glob("quarry-*")}
+    before = there()
+
+    def broken(*_):
+        raise RuntimeError("on purpose")
+
+    monkeypatch.setattr(neardup, "components", broken)
+    for name in ("op6_neardup", "pipeline"):
+        with pytest.raises(RuntimeError, match="on purpose"):
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert there() == before
+    monkeypatch.undo()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(there() - before) == 1 and out.count() > 100
