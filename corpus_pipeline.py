@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, substrings
 from quarry.llm import language as lang_id
-from quarry.llm.common import aside, documents, remainder, settle
+from quarry.llm.common import aside, delete, documents, remainder, settle, workspace
 
 #: Below it, a language counts as not told; chance gives about a quarter for four languages.
 LEAST_SCORE = 0.3
@@ -106,7 +106,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = documents(spark, sf_dir), None
+    with workspace(spark):  # if a stage fails, nothing stays
+        for _, stage in STAGES[:-1]:
+            with workspace(spark) as made:
+                docs = settle(stage(spark, docs, sf_dir))
+            for path in {before, *made} - {docs._settled_at, None}:  # nothing reads these any more
+                delete(spark, path)
+            before = docs._settled_at
+        return STAGES[-1][1](spark, docs, sf_dir)
