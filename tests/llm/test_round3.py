@@ -251,3 +251,46 @@ def test_scratch_goes_with_a_failure(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert len(there() - before) == 1 and out.count() > 100
+
+
+def test_language_fits_reach_the_least_loss():
+    """Family softmax and pair machines against plain descent in small steps, by the value of what they minimise."""
+    from quarry.llm import language
+
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "fr", "es"]
+    y = np.array([langs[i % 4] for i in range(240)])
+    x = np.abs(rng.normal(size=(240, 30))) + 2 * np.eye(30)[[langs.index(c) for c in y]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x1 = np.hstack([x, np.ones((240, 1))]).astype(np.float32)
+    model = language.Model(x1, list(y))
+
+    def descend(loss, w, rate, steps):
+        for _ in range(steps):
+            value, slope = loss(w)
+            w = w - rate * slope
+        return loss(w)[0]
+
+    fam = np.array([model.families.index(language.FAMILY.get(c, "other")) for c in y])
+    want = np.eye(len(model.families))[fam]
+    weight = (1 / want.sum(axis=0))[fam] / len(model.families)
+
+    def softmax_loss(w):
+        s = x1 @ w
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return -(weight * np.log((p * want).sum(axis=1))).sum() + 5e-6 * (w**2).sum(), x1.T @ (weight[:, None] * (p - want)) + 1e-5 * w
+
+    assert len(model.families) == 2
+    assert softmax_loss(model.family.astype(float))[0] < descend(softmax_loss, np.zeros(model.family.shape), 0.5, 5000) + 0.02
+    for a, b, w, slope, shift in (p for of in model.pairs.values() for p in of):
+        rows = (y == a) | (y == b)
+        z, s = x1[rows].astype(float), np.where(y[rows] == a, 1.0, -1.0)
+
+        def hinge_loss(w, z=z, s=s):
+            miss = np.maximum(0, 1 - s * (z @ w))
+            return (miss**2).mean() + 5e-5 * (w**2).sum(), z.T @ (-2 * s * miss) / len(s) + 1e-4 * w
+
+        assert hinge_loss(w.astype(float))[0] < descend(hinge_loss, np.zeros(31), 0.1, 20000) + 0.01
+        q = 1 / (1 + np.exp(-(slope * (z @ w) + shift)))
+        assert ((q > 0.5) == (s > 0)).mean() > 0.95
