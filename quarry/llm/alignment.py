@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, lean, memo, settle
 from quarry.llm.pretokens import is_unsure
-from quarry.llm.tokenfile import MEMORABLE, REMEMBER, Encoder, byte_letters
+from quarry.llm.tokenfile import MEMORABLE, Encoder, byte_letters
 
-SLICE_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
+SLICE_BYTES, BLOCK_BYTES, REMEMBER = 1 << 20, 8 << 20, 300_000
 SPACED = "▁"
 PAIR = 32  # bits of a B id in a pair
 
@@ -72,6 +72,7 @@ def byte_level(spec: str) -> Side:
     spell = lambda t: bytes(map(of.__getitem__, t)) if all(c in of for c in t) else t.encode()
     table = [spell(names.get(i, "")) for i in range(max(names) + 1)]
     quick = own.ranked()
+    own.known = None  # of no use any more
 
     def one(text: str) -> bytes:
         return own.direct(text) if quick is None or is_unsure(text) else array("I", quick.encode_ordinary(text)).tobytes()
