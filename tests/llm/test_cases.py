@@ -36,7 +36,7 @@ def folder(request, spark, tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", [k for k in entry.queries() if k.startswith("op") and k != "op5_chat"] + ["pipeline"])
+@pytest.mark.parametrize("name", [k for k in entry.queries() if k.startswith("op") and k not in ("op5_chat", "op12_whiten", "op13_topk")] + ["pipeline"])  # those of the documents
 def test_all_rows(spark, folder, name):
     got = entry.queries()[name](spark, folder).collect()
     want = spark.read.parquet(f"{folder}/documents.parquet").count()
