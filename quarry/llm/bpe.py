@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from quarry.llm.common import documents, give_back, lean, memo, parts_for, whole
 from quarry.llm.pretokens import Cutter
 
-CHUNK_BYTES, PART_BYTES, DESKS = 16 << 20, 1 << 20, 4  # desks: so many times the root of the number of chunks
+CHUNK_BYTES, PART_BYTES, DESKS = 8 << 20, 1 << 20, 4  # desks: so many times the root of the number of chunks
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
