@@ -96,7 +96,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, place = placed(docs)
     out = bpe.digests(bpe.encode(rows, bpe.ranks_file(), ["doc_id", "_file", "_row"]), "_file", "_row")
-    return place(out).orderBy("position")
+    return place(settle(out)).orderBy("position")  # written, as a sort reads its input twice
 
 
 STAGES = [(f.__name__, f) for f in (language, near_duplicates, repeated_strings, mixture, tokens)]
