@@ -40,8 +40,8 @@ from quarry.llm.common import settle
 from quarry.llm.whitening import finite
 
 SCALE, K = 256, 5
-SHARD_ROWS, BLOCK_ROWS, SHARDS = 1 << 16, 1 << 13, 16  # no more rows a shard or block; at least so many shards, as far as LEAST_ROWS permits
-LEAST_ROWS = 1 << 12
+SHARD_ENTRIES, BLOCK_ENTRIES = 1 << 22, 1 << 19  # no more components a shard or a block
+SHARDS, LEAST_ROWS = 16, 1 << 12  # at least so many shards, as long as they have so many rows
 SEEDS, PROBED, AT_ONCE = 3, 4, 64  # terms that give the first threshold; terms probed, and queries that traverse, at once
 SHARE = 0.25
 EXACT, LARGEST = 1 << 53, (1 << 63) - 1  # below it, sums of integers are exact in doubles; the end of longs
@@ -126,9 +126,10 @@ class Shard:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for each of ``queries``, both (row, vec_id, x), whose rows are numbered in common."""
-    n, n_queries = vectors.count(), queries.count()
-    shard_rows = min(SHARD_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // BLOCK_ROWS))
+    n, longest = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
+    n_queries, longest = queries.count(), max(1, longest or 0)
+    shard_rows = max(1, min(SHARD_ENTRIES // longest, max(LEAST_ROWS, -(-n // SHARDS))))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // max(1, BLOCK_ENTRIES // longest)))
     number = lambda m: F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")
     deal = lambda m: F.pmod(F.xxhash64("row"), F.lit(m))
     left = vectors.select("row", "vec_id", "x", deal(shards).alias("_s"), F.explode(number(blocks)).alias("_b"))

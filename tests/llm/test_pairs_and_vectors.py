@@ -195,10 +195,10 @@ def test_topk(spark):
     assert sorted(str(tuple(r)) for r in got.collect()) == plain_topk(given)
 
 
-@pytest.mark.parametrize("least_rows,block_rows", [(1 << 12, 1 << 13), (20, 3)])
-def test_topk_on_awkward_rows(spark, monkeypatch, least_rows, block_rows):
-    monkeypatch.setattr(maxscore, "LEAST_ROWS", least_rows)
-    monkeypatch.setattr(maxscore, "BLOCK_ROWS", block_rows)
+@pytest.mark.parametrize("shard,block", [(1 << 22, 1 << 19), (250, 36)])
+def test_topk_on_awkward_rows(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(maxscore, "SHARD_ENTRIES", shard)
+    monkeypatch.setattr(maxscore, "BLOCK_ENTRIES", block)
     rng, nan = random.Random(5), float("nan")
     one = [rng.gauss(0, 0.2) for _ in range(12)]
     given = [(i, one) for i in range(0, 120, 3)] + [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(400)]  # a hot vector, repeated ids
