@@ -12,13 +12,14 @@ with 40 of them replaced share 0.42 of their shingles only, and are similar all
 
 Texts with equal words are one node. In each bucket, the nodes that share an entry, every
 node is compared with one of them, the hub, the first by a hash that differs between rounds
-and between ``ORDERS`` sets of entries. A node is settled in a bucket by a verified link with
-the hub only. The others meet two further hubs, then go on to a bucket that also needs the next entry
-and the size to be alike, then to buckets of more entries (``STEPS``), each with a hub of its own; when all entries
-are used, to further hubs until none is left. So the number
-of comparisons follows the number of nodes however large a bucket is, no pairs within a
-group are made, and nothing is capped. Of two similar nodes a hub may hold one only; then
-they meet with other hubs, in the other buckets that they share.
+and between ``ORDERS`` sets of entries; those not linked with it meet ``HUBS`` - 1 more. So large
+groups of near copies become classes by comparisons in proportion to their nodes. Of two similar
+nodes a hub may hold one only, or neither. Hence all pairs of nodes that share a bucket and aren't
+of one class after that are candidates too: members of buckets that hold several classes are dealt
+to blocks of about ``BLOCK``, which meet in pairs, and what agrees in least hashes and size is
+aligned. So no candidate pair of two classes is left out, and nothing is capped; pairs within a
+class change nothing and aren't compared. In a bucket of many texts that aren't near (of a
+passage that they share) the least hashes of all pairs of similar size are compared, 32 bytes each.
 
 Links make classes by alternating stars, written to the shared folder each round.
 
@@ -54,9 +55,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import SPACE, aside, discard, documents, lean, settle, whole
 
 SHINGLE, SKETCHES, SIMILAR, ORDERS = 5, 20, 0.8, 4
-STEPS = (1, 1, 1, 2, 3, 5, 8, SKETCHES)  # entries that a bucket of each round needs to be equal
+HUBS, BLOCK, LIST = 3, 256, 4096  # hubs that a bucket is compared with before its members meet in pairs; members of a bucket that meet at once; pairs aligned at once
 MINIMA, ALIKE = 32, 18  # least hashes of a text's words, a byte each; how many of them two texts to align have in common
-FEWER = 4  # once the members of buckets are fewer by this factor, the tables that rounds read are cut down to them
 FREQUENT = 64  # words that stand so often in a text are aligned by bit masks, others place by place
 _FOLDED = re.compile(r"[^\W_]+")
 _ODD, _ODD_WORDS = ((np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1) for seed, n in ((20_11, SKETCHES), (20_12, MINIMA)))
@@ -258,53 +258,119 @@ def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long, near boolean")
 
 
-def links(nodes: DataFrame, words_for) -> DataFrame:
-    """The similar pairs (a, b) that make the classes. ``nodes``: (node, n, sketch, minima), unique; ``words_for`` gives (node, words) for a table of nodes."""
+def _mixed(shared: DataFrame, nodes: DataFrame, roots: DataFrame, words: DataFrame) -> DataFrame:
+    """The similar pairs (a, b) of nodes of different roots that share a bucket. ``shared``: (band, key, node), ``roots``: (node, root).
+
+    Members of a bucket are dealt to blocks, by size and a hash, and blocks meet in pairs, so that no task holds a bucket. A pair is
+    taken in the first bucket that it shares. Pairs to align travel as lists, with the words of each of their nodes once.
+    """
+    spark = nodes.sparkSession
+    named = settle(shared.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = named.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    mixed = settle(mixed.select(F.col("band").alias("_band"), F.col("key").alias("_key"), "size"))
+    rows = named.join(mixed, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).drop("_band", "_key").join(nodes.select("node", "n", "sketch", "minima"), "node")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    rows = rows.withColumns({"bin": F.floor(F.log("n") / math.log(1 / SIMILAR)), "block": block})  # similar sizes are in equal bins or neighbours
+    fields = ("node", "root", "n", "sketch", "minima")
+    blocks = rows.groupBy("band", "key", "bin", "block").agg(F.collect_list(F.struct(*fields)).alias("of"))
+    blocks = settle(blocks.select("band", "key", "bin", "block", F.monotonically_increasing_id().alias("at"), *(F.col(f"of.{c}") for c in fields[:3]), *(F.flatten(f"of.{c}").alias(c) for c in fields[3:])))
+    one, two = (blocks.select("band", "key", *(F.col(c).alias(f"{c}{i}") for c in ("bin", "block", "at"))) for i in (1, 2))
+    meet = one.join(two, ["band", "key"]).where("bin2 = bin1 + 1 OR bin2 = bin1 AND block2 >= block1").select("band", "at1", "at2")
+    for i in (1, 2):
+        meet = meet.join(blocks.select(*(F.col(c).alias(f"{c}{i}") for c in ("at", *fields))), f"at{i}")
+    meet = meet.select("band", *(f"{c}{i}" for i in (1, 2) for c in fields))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for at, band in enumerate(batch.column(0).to_pylist()):
+                x, r, n, e, m, y, s, k, f, q = (batch.column(i)[at].values.to_numpy() for i in range(1, 11))
+                e, f, m, q = e.reshape(-1, SKETCHES), f.reshape(-1, SKETCHES), m.reshape(-1, MINIMA), q.reshape(-1, MINIMA)
+                same, left, right = x[0] == y[0] and len(x) == len(y) and (x == y).all(), [], []
+                for i in range(len(x)):
+                    fit = np.flatnonzero((r[i] != s) & (np.minimum(n[i], k) >= SIMILAR * np.maximum(n[i], k)))
+                    fit = fit[fit > i] if same else fit
+                    fit = fit[(q[fit] == m[i]).sum(axis=1) >= ALIKE]
+                    fit = fit[~(f[fit, :band] == e[i, :band]).any(axis=1)]
+                    left.append(np.full(len(fit), x[i]))
+                    right.append(y[fit])
+                left, right = np.concatenate(left), np.concatenate(right)
+                lists += [(left[j : j + LIST], right[j : j + LIST]) for j in range(0, len(left), LIST)]
+            columns = [pa.array([v[i] for v in lists], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    lists = settle(meet.mapInArrow(lean(find), "a array<long>, b array<long>").withColumn("at", F.monotonically_increasing_id()))
+    discard(spark, named, mixed, blocks, sweep=False)
+    need = lists.select(F.col("at").alias("_at"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(words, "node")
+    need = need.groupBy("_at").agg(F.collect_list(F.struct("node", "words")).alias("of"))
+    ready = lists.join(need, F.col("at") == F.col("_at")).select("a", "b", F.col("of.node").alias("node"), F.col("of.words").alias("words"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for at in range(batch.num_rows):
+                a, b, node = (batch.column(i)[at].values.to_pylist() for i in range(3))
+                held = {x: np.frombuffer(w.as_buffer(), np.uint64) for x, w in zip(node, batch.column(3)[at].values)}
+                near += [(min(x, y), max(x, y)) for x, y in zip(a, b) if similarity(held[x], held[y]) >= SIMILAR]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in near], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    pairs = settle(ready.mapInArrow(lean(align), "a long, b long").distinct())
+    discard(spark, lists, sweep=False)
+    return pairs
+
+
+def links(nodes: DataFrame, words_for) -> tuple[DataFrame, DataFrame]:
+    """The similar pairs (a, b) that make the classes, and (node, root) of their nodes. ``nodes``: (node, n, sketch, minima), unique; ``words_for`` gives (node, words) for a table of nodes."""
     spark = nodes.sparkSession
     members = nodes.select("node", F.posexplode("sketch").alias("band", "key"))
     same = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
     alike = F.size(F.filter(F.zip_with("minima", "_minima", lambda x, y: x == y), lambda x: x)) >= ALIKE
-    words, tried, kept, last, own, nth, most = None, None, [], [], [], 0, 0
-    while True:
+    words, shared, first, tried, kept, last = None, None, [], None, [], []
+    for nth in range(HUBS):
         order = F.xxhash64("node", F.lit(nth), F.col("band") % ORDERS).alias("order")
         hubs = members.groupBy("band", "key").agg(F.min(F.struct(order, "node")).alias("hub"), F.count("*").alias("size")).where("size > 1")
         # written, so that nothing but exchanges stands below the join, which can then split large buckets
         hubs = settle(hubs.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("hub.node").alias("hub")))
         rows = members.join(hubs, same).where("node <> hub").select("band", "key", "node", "hub")
-        rows = rows.join(nodes.select("node", F.col("n").alias("n_own"), F.col("sketch").alias("own"), "minima"), "node")
+        rows = rows.join(nodes.select("node", F.col("n").alias("n_own"), "minima"), "node")
         rows = rows.join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("n_other"), F.col("minima").alias("_minima")), "hub")
-        nth += 1
-        # similar sizes are in one bin of even bands or of odd ones, whose bins are shifted by half of their width
-        bins = [F.floor(F.log("n_own") / math.log(1 / SIMILAR) / 2 + F.col("band") % 2 / 2)] if nth == STEPS.count(1) else []
-        more = [F.get("own", ((F.col("band") + j) % SKETCHES).cast("int")) for j in range(*STEPS[nth - 1 : nth + 1])] if nth < len(STEPS) else []
-        finer = F.xxhash64("key", *bins, *more) if more else F.col("key")
         fit = (F.least("n_own", "n_other") >= SIMILAR * F.greatest("n_own", "n_other")) & alike
-        rows = settle(rows.select("band", finer.alias("key"), "node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), fit.alias("fit")))
-        discard(spark, hubs, *last, sweep=nth <= 2)  # later rounds shuffle little
+        rows = settle(rows.select("band", "key", "node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), fit.alias("fit")))
+        discard(spark, *last, sweep=nth < 2)  # later rounds shuffle little
+        pairs = rows.where("fit").select("a", "b").distinct()
         if words is None:  # later rounds meet no other nodes
-            most = rows.count()
             words = words_for(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        pairs = rows.where("fit").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        new = settle(aligned(pairs, words))
+            shared, first = rows.select("band", "key", "node").union(hubs.select("_band", "_key", "hub")), [rows, hubs]
+            new = settle(aligned(pairs, words))
+            last, tried = [], new
+        else:
+            asked = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+            new = settle(aligned(asked, words))
+            last, tried = [rows, hubs, asked], tried.union(new)
         kept.append(new)
-        tried = new if tried is None else tried.union(new)
         members = settle(rows.join(tried.where("near"), ["a", "b"], "left_anti").select("node", "band", "key"))
-        discard(spark, rows, sweep=nth <= 2)
-        last, number = [members], members.count()
-        if number < 2:  # the only one of its bucket
+        last.append(members)
+        if members.isEmpty():
             break
-        if number <= most / FEWER:  # later rounds read and shuffle what is left only
-            left, most = settle(members.select("node").distinct()), number
-            both = tried.join(left.select(F.col("node").alias("a")), "a", "left_semi").join(left.select(F.col("node").alias("b")), "b", "left_semi")
-            fewer = [settle(t) for t in (nodes.join(left, "node", "left_semi"), words.join(left, "node", "left_semi"), both.select("a", "b", "near"))]
-            discard(spark, left, words, *own, sweep=False)
-            nodes, words, tried = fewer
-            own = [nodes, tried]
-    out = settle(reduce(DataFrame.union, kept).where("near").select("a", "b"))
-    discard(spark, words, members, *own, *kept)
-    return out
+    discard(spark, *last, sweep=False)
+    # what share a bucket and aren't of one class yet are compared pair by pair
+    roots = components(tried.where("near").select("a", "b"))
+    more = _mixed(shared, nodes, roots, words)
+    if not more.isEmpty():  # classes that these join
+        by = roots.select(F.col("node").alias("_of"), "root")
+        over = more
+        for c in ("a", "b"):
+            over = over.join(by, F.col(c) == F.col("_of"), "left").withColumn(c, F.coalesce("root", c)).drop("_of", "root")
+        tops = components(over)
+        selves = more.select(F.explode(F.array("a", "b")).alias("node")).union(roots.select("root")).select("node", F.col("node").alias("root"))
+        known = roots.union(selves).groupBy("node").agg(F.min("root").alias("root"))
+        joined = known.join(tops.select(F.col("node").alias("_of"), F.col("root").alias("_top")), F.col("root") == F.col("_of"), "left")
+        joined = settle(joined.select("node", F.coalesce("_top", "root").alias("root")))
+        discard(spark, roots, tops, sweep=False)
+        roots = joined
+    out = settle(reduce(DataFrame.union, kept).where("near").select("a", "b").union(more))
+    discard(spark, words, more, *first, *kept)
+    return out, roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -321,7 +387,9 @@ def components(edges: DataFrame) -> DataFrame:
         discard(edges.sparkSession, old, sweep=False)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._settled_at = edges._settled_at
+            return out
         last = now
 
 
@@ -341,9 +409,8 @@ def classes(docs: DataFrame) -> DataFrame:
         # rows equal in id and text are one node
         return settle(hashed_words(texts.where(F.xxhash64("text") == F.col("_tx")).select("node", "text").dropDuplicates(["node"])))
 
-    pairs = links(nodes.select("node", "n", "sketch", "minima"), words_for)
+    pairs, roots = links(nodes.select("node", "n", "sketch", "minima"), words_for)
     number = pairs.select(F.explode(F.array("a", "b")).alias("_with")).groupBy("_with").agg(F.count("*").alias("n_links"))
-    roots = components(pairs)
     of = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keeper = of.groupBy("root").agg(F.min("first").alias("keeper"), F.min("first.doc_id").alias("class_id"))
     keeper = settle(keeper)  # as with the hubs: the join can then split a large class
@@ -353,7 +420,7 @@ def classes(docs: DataFrame) -> DataFrame:
     mine = F.col("node").isNull() | F.struct("doc_id", "tx").eqNullSafe(F.col("keeper"))
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     out = settle(out.select("doc_id", "tx", class_id, F.coalesce("n_links", F.lit(0)).alias("n_links"), mine.alias("keep")))
-    discard(docs.sparkSession, rows, nodes, pairs, keeper, of)
+    discard(docs.sparkSession, rows, nodes, pairs, roots, keeper, of)
     return out
 
 
