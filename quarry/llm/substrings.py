@@ -378,20 +378,23 @@ def _split(pieces: DataFrame) -> DataFrame:
 
 
 def _kinds(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each kind the number and the first piece, and of each key the number of kinds where there are several. ``pieces``: row, place, gram, key, kind."""
+    """Of each kind the number and the first piece, and of each key that isn't one piece's the number of kinds. ``pieces``: row, place, gram, key, kind."""
     kinds = settle(pieces.groupBy("gram", "key", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
-    keys = kinds.groupBy("gram", "key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    return kinds, settle(keys)
+    keys = kinds.groupBy("gram", "key").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 OR most > 1")
+    return kinds, settle(keys.drop("most"))
 
 
 def _judged(pieces: DataFrame, kinds: DataFrame, keys: DataFrame) -> DataFrame:
-    """``pieces`` of keys of several kinds, or of kinds of several pieces, with n, crowd and chosen, true for one piece of each kind of the former."""
-    kinds = kinds.select(*(F.col(c).alias(f"_{c}") for c in ("gram", "key", "kind")), "n", "one")
+    """``pieces`` of keys of several kinds, or of kinds of several pieces, with n, crowd and chosen, true for one piece of each kind of the former.
+
+    Kinds meet their keys first, so that pieces with no other of their key go before anything is joined to them.
+    """
     keys = keys.select(F.col("gram").alias("_g"), F.col("key").alias("_k"), "kinds")
-    out = pieces.join(kinds, (F.col("gram") == F.col("_gram")) & (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind"))).drop("_gram", "_key", "_kind")
-    out = out.join(keys, (F.col("gram") == F.col("_g")) & (F.col("key") == F.col("_k")), "left").where("n > 1 OR kinds IS NOT NULL")
-    chosen = (F.struct("row", "place") == F.col("one")) & F.col("kinds").isNotNull()
-    return out.withColumns({"chosen": chosen, "crowd": F.coalesce(F.col("kinds") > CROWD, F.lit(False))}).drop("_g", "_k", "one", "kinds")
+    kinds = kinds.join(keys, (F.col("gram") == F.col("_g")) & (F.col("key") == F.col("_k")))
+    kinds = kinds.select(*(F.col(c).alias(f"_{c}") for c in ("gram", "key", "kind")), "n", "one", "kinds")
+    out = pieces.join(kinds, (F.col("gram") == F.col("_gram")) & (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind")))
+    chosen = (F.struct("row", "place") == F.col("one")) & (F.col("kinds") > 1)
+    return out.withColumns({"chosen": chosen, "crowd": F.col("kinds") > CROWD}).drop("_gram", "_key", "_kind", "one", "kinds")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
