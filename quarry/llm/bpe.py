@@ -39,6 +39,7 @@ from quarry.llm.common import documents, give_back, lean, memo, parts_for, whole
 from quarry.llm.pretokens import Cutter
 
 CHUNK_BYTES, PART_BYTES, DESKS = 8 << 20, 1 << 20, 4  # desks: so many times the root of the number of chunks
+LEVEL = 6  # of compression of what chunks and desks exchange
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
@@ -58,17 +59,36 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def pack(words: list[bytes]) -> bytes:
-    """A list of byte strings in one."""
-    lengths = np.array([len(w) for w in words], "<u4").tobytes()
-    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 1)
+def pack(words: list[bytes], ascending: bool = False) -> bytes:
+    """A list of byte strings in one; lengths apart, in as few bytes as they need; ``ascending`` ones less what each shares with the one before."""
+    shared = bytearray()
+    if ascending:
+        last, rest = b"", []
+        for w in words:
+            k, most = 0, min(len(last), len(w), 255)
+            while k < most and last[k] == w[k]:
+                k += 1
+            shared.append(k)
+            rest.append(w[k:])
+            last = w
+        words = rest
+    lengths = np.array([len(w) for w in words], np.uint32)
+    width = int(np.searchsorted([1 << 8, 1 << 16], lengths.max(), side="right")) if len(words) else 0
+    head = len(words).to_bytes(4, "little") + bytes([1 << width, ascending])
+    return zstandard.compress(head + bytes(shared) + lengths.astype(f"<u{1 << width}").tobytes() + b"".join(words), LEVEL)
 
 
 def unpack(blob: bytes) -> list[bytes]:
     raw = zstandard.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
-    return [raw[i:j] for i, j in zip([4 + 4 * n, *ends.tolist()], ends.tolist())]
+    n, width, ascending = int.from_bytes(raw[:4], "little"), raw[4], raw[5]
+    at = 6 + n * ascending
+    first = at + width * n
+    ends = first + np.cumsum(np.frombuffer(raw, f"<u{width}", n, at), dtype=np.int64)
+    words = [raw[i:j] for i, j in zip([first, *ends.tolist()], ends.tolist())]
+    if ascending:
+        for i in range(1, n):
+            words[i] = words[i - 1][: raw[6 + i]] + words[i]
+    return words
 
 
 def requests(words: set[str], desks: int) -> dict[int, list[bytes]]:
@@ -93,6 +113,7 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
     # by the place of a row, so that equal rows go to different chunks
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("long")).repartition("chunk")
     shared = docs.sparkSession.sparkContext.broadcast(blob)
+    width = 2 if max(load_ranks(blob).values(), default=0) < 1 << 16 else 4  # bytes of an id that travels
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, chunk, words = Cutter(), None, set()
@@ -100,7 +121,7 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
         def give():
             asked = requests(words, desks)
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(asked), pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array(map(pack, asked.values()), pa.binary())], ["desk", "chunk", "words"]
+                [pa.array(list(asked), pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array([pack(w, True) for w in asked.values()], pa.binary())], ["desk", "chunk", "words"]
             )
 
         for batch in batches:
@@ -125,7 +146,7 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
                 ids = []
                 for w in unpack(words):
                     if w not in known:
-                        known[w] = array("I", library.encode_ordinary(w.decode())).tobytes()
+                        known[w] = array("H" if width == 2 else "I", library.encode_ordinary(w.decode())).tobytes()
                     ids.append(known[w])
                 out.append(pack(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["desk", "chunk", "ids"])
@@ -147,11 +168,11 @@ def encode(docs: DataFrame, blob: bytes, keep: Sequence[str] | None = None) -> D
             for t in rows.column("_text"):
                 one = b"".join(map(known.__getitem__, cut(t.as_py() or "")))
                 raw.append(one)
-                sizes.append(len(one) // 4)
-                decoded.append(b"".join(map(table.__getitem__, np.frombuffer(one, "<u4").tolist())))
+                sizes.append(len(one) // width)
+                decoded.append(b"".join(map(table.__getitem__, np.frombuffer(one, f"<u{width}").tolist())))
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            values = np.frombuffer(b"".join(raw), "<i4")
+            values = np.frombuffer(b"".join(raw), f"<u{width}").astype(np.int32)
             columns = [rows.column(n) for n in names]
             columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(decoded, pa.binary())]
             return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, want)], names=want.names)
